@@ -4,25 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import exact_dedup, sharding
+from parallax.llm import bpe, exact_dedup, secret_scan, sharding
 from parallax.llm.common import table
 
 #: Production parameters.
 SHARD_WEIGHTS = (1.0,) * 8
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_WEIGHTS)
 
 
+def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_rendezvous_shards, op10_exact_dedup)
+    found = (op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
