@@ -307,7 +307,8 @@ def digests(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of scan()'s rows; columns for each base kind."""
     base = [r.kind for r in rules if r.base]
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(text(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
