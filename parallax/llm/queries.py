@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import bpe, exact_dedup, secret_scan, sharding
+from parallax.llm import bpe, exact_dedup, secret_scan, sharding, simhash
 from parallax.llm.common import table
 
 #: Production parameters.
 SHARD_WEIGHTS = (1.0,) * 8
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+SHINGLE_WORDS, MAX_BITS = 3, 2
 
 
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +28,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dups(table(spark, sf_dir, "documents"), SHINGLE_WORDS, MAX_BITS)
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op10_exact_dedup)
+    found = (op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op9_simhash_near_dups, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
