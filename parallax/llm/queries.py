@@ -7,15 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import bpe, exact_dedup, secret_scan, sharding, simhash
+from parallax.llm import bpe, exact_dedup, quality, secret_scan, sharding, simhash, token_planes
 from parallax.llm.common import table
 
 #: Production parameters.
 SHARD_WEIGHTS = (1.0,) * 8
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 SHINGLE_WORDS, MAX_BITS = 3, 2
 
 
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_WEIGHTS)
 
@@ -28,6 +33,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.read_back(spark, token_planes.store(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
+
+
 def op9_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dups(table(spark, sf_dir, "documents"), SHINGLE_WORDS, MAX_BITS)
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -38,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op9_simhash_near_dups, op10_exact_dedup)
+    found = (op3_compression_bands, op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op8_token_planes, op9_simhash_near_dups, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
