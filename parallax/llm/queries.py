@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import bpe, exact_dedup, quality, secret_scan, sharding, simhash, token_planes
+from parallax.llm import bpe, exact_dedup, langid, quality, secret_scan, sharding, simhash, token_planes
 from parallax.llm.common import table
 
 #: Production parameters.
@@ -17,6 +17,11 @@ WORD_BPE = "word_bpe_49k.json"
 SHINGLE_WORDS, MAX_BITS = 3, 2
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_compression_bands, op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op8_token_planes, op9_simhash_near_dups, op10_exact_dedup)
+    found = (op1_language_id, op3_compression_bands, op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op8_token_planes, op9_simhash_near_dups, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
