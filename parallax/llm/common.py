@@ -41,8 +41,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def prefix_sum(df: DataFrame, group: list[str], blocks: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """Add `out`: the sum of `value` over all earlier rows of the group.
+def prefix_sum(df: DataFrame, group: list[str], blocks: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add a column for each of `values`: its sum over all earlier rows of the group.
 
     Rows of a group are ordered by (`blocks` coarse to fine, then `order`). No window ever
     holds more than one finest block or the totals of one block's children, so a group of
@@ -50,9 +50,10 @@ def prefix_sum(df: DataFrame, group: list[str], blocks: list[str], order: list[s
     """
     keys = [*group, *blocks]
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
+    inner = df.withColumns({name: F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long") for name, value in values.items()})
     if not blocks:
         return inner
-    totals = df.groupBy(*keys).agg(F.sum(value).cast("long").alias("_total"))
-    bases = prefix_sum(totals, group, blocks[:-1], [blocks[-1]], F.col("_total"), "_base").drop("_total")
-    return inner.join(bases, keys).withColumn(out, F.col(out) + F.col("_base")).drop("_base")
+    totals = df.groupBy(*keys).agg(*(F.sum(value).cast("long").alias(f"_of_{name}") for name, value in values.items()))
+    bases = prefix_sum(totals, group, blocks[:-1], [blocks[-1]], {f"_to_{name}": F.col(f"_of_{name}") for name in values})
+    bases = bases.select(*keys, *(f"_to_{name}" for name in values))
+    return inner.join(bases, keys).withColumns({name: F.col(name) + F.col(f"_to_{name}") for name in values}).drop(*(f"_to_{name}" for name in values))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import bpe, exact_dedup, langid, quality, secret_scan, sharding, simhash, token_planes
+from parallax.llm import bpe, chat, exact_dedup, langid, packing, quality, secret_scan, sharding, simhash, token_planes
 from parallax.llm.common import table
 
 #: Production parameters.
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -52,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op3_compression_bands, op4_rendezvous_shards, op5_bpe_tree, op7_secret_scan, op8_token_planes, op9_simhash_near_dups, op10_exact_dedup)
+    found = (op1_language_id, op2_length_buckets, op3_compression_bands, op4_rendezvous_shards, op5_bpe_tree, op6_perspective_rotation, op7_secret_scan, op8_token_planes, op9_simhash_near_dups, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -61,6 +69,17 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL = {
+    "op6_perspective_rotation": r"""
+        WITH s AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
+             c AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
+             r AS (SELECT *, CASE speaker WHEN perspective THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'user' END AS role FROM s JOIN c USING (conv_id)),
+             t AS (SELECT *, '<|im_start|>' || role || CASE role WHEN 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+             g AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM t),
+             n AS (SELECT *, row_number() OVER w - 1 AS seq, (sum(length(segment)) OVER w)::BIGINT AS end_char FROM g
+                   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, said ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT conv_id, perspective, seq, turn, role, CASE role WHEN 'user' THEN speaker END AS name, segment, end_char - length(segment) AS start_char, end_char,
+               CASE role WHEN 'assistant' THEN end_char - length(segment) + length(head) END AS mask_start, CASE role WHEN 'assistant' THEN end_char END AS mask_end
+        FROM n""",
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY ALL)

@@ -49,5 +49,5 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"),
     )
-    out = prefix_sum(rows, ["shard"], ["_salt"], ["doc_id", "text_crc32", "size"], F.lit(1), "slot")
+    out = prefix_sum(rows, ["shard"], ["_salt"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1)})
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -173,7 +173,7 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
 
 def part_bases(blocks: DataFrame) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("_hundreds", F.expr("part div 1024"))
-    return prefix_sum(parts, [], ["_hundreds"], ["part"], F.col("ids"), "base").select("part", "base")
+    return prefix_sum(parts, [], ["_hundreds"], ["part"], {"base": F.col("ids")}).select("part", "base")
 
 
 def _shifted(crc: int, zeros: int) -> int:
