@@ -90,10 +90,6 @@ def pattern_hits(rows: DataFrame, keys: Sequence[str], text: str, patterns: Mapp
     return rows.select(*keys, F.explode(names).alias("pattern"))
 
 
-#: Absolute paths of a user's home, as a released text must not have them. Fixed value.
-USER_PATH = r"(?i)([a-z]:\\users\\[^\\\s]+|/home/[^/\s]+/|/Users/[^/\s]+/)"
-
-
 def canonical_json(value: Any) -> str:
     """Sorted keys, no blanks, no ASCII escapes."""
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))

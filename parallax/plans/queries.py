@@ -21,6 +21,7 @@ from parallax.operators import infer as I
 from parallax.operators import resume as R
 from parallax.operators import spans as P
 from parallax.operators import summarise as S
+from parallax.operators.programs import frames
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,3 +582,35 @@ def rolled_levels(spark: SparkSession, d: str) -> DataFrame:
     return _means(spark, d).rollup("condition", "family").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("price")).alias("mean_price"))
 
 
+
+
+# --- programs --------------------------------------------------------------------------------
+
+#: Small programs that together show every supported statement and most expressions.
+CORPUS = (
+    ("sum_positive", "sums", "def sum_positive(values):\n    total = 0\n    for value in values:\n        if value > 0:\n            total += value\n    return total\n"),
+    ("scan_max", "scans", "def scan_max(values):\n    best = None\n    i = 0\n    while i < len(values) and not False:\n        if best is None or values[i] >= best:\n            best = values[i]\n        i += 1\n    else:\n        pass\n    return best\n"),
+    ("count_words", "text", "def count_words(text):\n    counts = {}\n    for word in text.split():\n        counts[word] = counts.get(word, 0) + 1\n    return (len(counts), counts)\n"),
+    ("clamp_values", "lists", "def clamp_values(values, low, high):\n    out: list = []\n    for value in values:\n        if value < low:\n            out.append(low)\n            continue\n        elif value > high:\n            out.append(high)\n        else:\n            out.append(value if value != -1 else +value)\n    return out[0:len(out):1]\n"),
+    ("contains_target", "search", "def contains_target(values, target):\n    found = False\n    for i, value in enumerate(values):\n        if value == target:\n            found = True\n            break\n    else:\n        found = target in ('é', 'x',) or not values\n    return found\n"),
+)
+
+
+def _programs(spark: SparkSession) -> DataFrame:
+    tasks = spark.createDataFrame([(name, family, f"Write {name}.", [f"{name} in words"], [source]) for name, family, source in CORPUS], "id string, family string, task string, nl array<string>, python array<string>")
+    return frames.build(tasks)
+
+
+@query
+def render_programs(spark: SparkSession, d: str) -> DataFrame:
+    return frames.render_programs(_programs(spark)).select("trajectory_id", "condition", "reference_text", F.size("semantic_step_spans").alias("n_steps"), F.size("trace_spans").alias("n_nodes"))
+
+
+@query
+def rename_programs(spark: SparkSession, d: str) -> DataFrame:
+    return frames.rename_programs(_programs(spark), "program_id", "source_python").select("program_id", "source", F.array_join("canonical_globals", ",").alias("globals"))
+
+
+@query
+def construct_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return frames.construct_histogram(_programs(spark))
