@@ -112,7 +112,7 @@ def map_by_join(tokens: DataFrame, spans: DataFrame, keys: Sequence[str], token:
 def span_errors(spans: DataFrame, keys: Sequence[str], length: str, step: str = "semantic_step_id") -> DataFrame:
     """One row per broken rule (keys, step, error): range, overlap with an earlier span, or a step used twice."""
     ordered = Window.partitionBy(*keys).orderBy("start_char", "end_char", step)
-    reach = F.max("end_char").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max(F.when(F.col("start_char").isNotNull(), F.col("end_char"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     seen = F.row_number().over(Window.partitionBy(*keys, step).orderBy("start_char", "end_char"))
     valid = (F.col("start_char") >= 0) & (F.col("start_char") < F.col("end_char")) & (F.col("end_char") <= F.col(length))
     errors = F.array_compact(F.array(F.when(~F.coalesce(valid, F.lit(False)), "invalid_range"), F.when(F.col("start_char") < reach, "overlap"), F.when(seen > 1, "duplicate_step")))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from parallax import schemas
 
@@ -37,7 +37,7 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """The model registry: one row per model."""
-    models = json_documents(spark, path, StructType().add("schema_version", "string").add("models", "array<struct<slug:string,model_id:string,revision:string,revision_source:string,c4_equivalence_margin:double>>"))
+    models = json_documents(spark, path, StructType().add("schema_version", "string").add("models", ArrayType(schemas.REGISTRY)))
     return models.select(F.explode("models").alias("_m")).select("_m.*")
 
 
