@@ -16,6 +16,10 @@ linked if they differ in `max_bits` bits or fewer; a component is what links rea
    nodes, never with pairs. Components are then found by alternating large-star and small-star
    rounds on stored tables.
 
+`near_dups` links by fingerprint alone. `similar_docs` uses the same index on wide fingerprints to
+find candidates for a shingle similarity, keeps a pattern's strongest links and measures those on
+whole texts.
+
 Defined cases: a null or empty text has fingerprint zero; fewer words than a shingle count as
 one shingle; rows with a null doc_id are linked like others but represent a component only if
 all its rows lack an id; an empty table gives an empty result.
@@ -23,8 +27,8 @@ all its rows lack an id; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ from parallax.llm.common import materialise
 SEED = 42
 #: Shingles that are in memory at once; nodes of one pattern before it is refined; free bits at which refining ends.
 CHUNK, MAX_GROUP, FREE_BITS = 1 << 17, 1 << 16, 16
+#: Ids of eight bytes that a join may broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Members of a tree node; groups up to SCAN are compared by shifting.
 FANOUT, SCAN = 8, 16
 
@@ -156,10 +162,8 @@ def links_of_group(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[root[moved]]
 
 
-def _edges_of_rows(mask: np.ndarray, pattern: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges within each run of equal (mask, pattern)."""
-    new = np.r_[True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]
-    starts = np.flatnonzero(new)
+def _edges_of_rows(starts: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges within each run."""
     sizes = np.diff(np.r_[starts, len(fps)])
     run = np.repeat(np.arange(len(starts)), sizes)
     small = sizes[run] <= SCAN
@@ -174,55 +178,78 @@ def _edges_of_rows(mask: np.ndarray, pattern: np.ndarray, fps: np.ndarray, most:
             yield a, b
 
 
-def _search(rows: DataFrame, most: int) -> DataFrame:
-    """(u, v) edges among the rows (mask, pattern, fp) of each pattern."""
+KEY = ["word", "mask", "pattern"]
+
+
+def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ...]]], schema: str) -> DataFrame:
+    """What `groups` makes of the rows, whose columns it gets as arrays: whole patterns, each in one run of equal keys."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.uint64)] * 3
+        held: list[np.ndarray] | None = None
         for batch in chain(batches, [None]):
-            now = [np.concatenate([h, np.asarray(batch.column(i)).view(np.uint64)]) for i, h in enumerate(held)] if batch is not None else held
-            if not len(now[0]):
+            now = held
+            if batch is not None:
+                columns = [np.asarray(c).astype(np.int64).view(np.uint64) for c in batch.columns]
+                now = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if now is None or not len(now[0]):
                 continue
             # the last pattern may go on in the next batch
-            cut = len(now[0]) if batch is None else int(np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])])[-1])
+            cut = len(now[0]) if batch is None else int(_starts(now)[-1])
             held = [x[cut:] for x in now]
-            for u, v in _edges_of_rows(*(x[:cut] for x in now), most):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            for found in groups(_starts([x[:cut] for x in now]) if cut else np.empty(0, np.int64), *(x[:cut] for x in now)):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in found], names)
 
-    return rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(run, "u long, v long")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, schema)
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns[: len(KEY)]:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def masks(parts: int, within: int = (1 << 64) - 1) -> list[int]:
-    """The bits of `within`, lowest first, cut into `parts` masks of near-equal size."""
-    bits = [i for i in range(64) if within >> i & 1]
-    cut = [round(k * len(bits) / parts) for k in range(parts + 1)]
-    return [sum(1 << i for i in bits[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+ALL_BITS = (1 << 64) - 1
 
 
-def _patterns(nodes: DataFrame, tops: list[int]) -> DataFrame:
-    return nodes.select(F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in tops))).alias("mask"), "fp").withColumn("pattern", F.col("mask").bitwiseAND(F.col("fp"))).select("mask", "pattern", "fp")
+def masks(most: int, spare: int = 1, within: int = ALL_BITS) -> list[int]:
+    """Masks over `within` of which two values that differ in `most` bits there agree on one at least.
 
+    The bits are cut into most + spare parts of near-equal size; `spare` parts make a mask.
+    """
+    bits, parts = [i for i in range(64) if within >> i & 1], most + spare
+    cut = [round(k * len(bits) / parts) for k in range(parts + 1)]
+    part = [sum(1 << i for i in bits[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    return [sum(some) for some in combinations(part, spare)]
 
-def edges(nodes: DataFrame, most: int, max_group: int = MAX_GROUP) -> DataFrame:
-    """(u, v): a forest of links within each pattern of the index; nodes: distinct fp."""
-    level = [(1 << 64) - 1 & m for m in masks(most + 1)]
-    rows = _patterns(nodes, level)
+
+def _by_patterns(nodes: DataFrame, words: list[str], most: int, spare: int, max_group: int, free_bits: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`search` over all patterns of the index: rows (word, mask, pattern, columns of `nodes`), hot patterns refined."""
+    spark, payload = nodes.sparkSession, nodes.columns
+    level = masks(most, spare)
+    tops = F.array(*(F.struct(F.lit(k).cast("long").alias("word"), F.lit(_signed(m)).cast("long").alias("mask"), F.lit(_signed(m)).cast("long").bitwiseAND(F.col(w)).alias("pattern")) for k, w in enumerate(words) for m in level))
+    rows = nodes.select(F.explode(tops).alias("_t"), *payload).select("_t.*", *payload)
     found: list[DataFrame] = []
     while True:
-        hot = materialise(rows.groupBy("mask", "pattern").count().where(F.col("count") > max_group).select("mask", "pattern"), "hot-patterns")
-        deeper = [(m, m | s) for m in level if 64 - m.bit_count() > FREE_BITS for s in masks(most + 1, (1 << 64) - 1 & ~m)]
-        if not deeper or hot.isEmpty():
-            found.append(_search(rows, most))
+        open_masks = [m for m in level if 64 - m.bit_count() > free_bits]
+        hot = materialise(rows.where(F.col("mask").isin([_signed(m) for m in open_masks])).groupBy(*KEY).count().where(F.col("count") > max_group).select(*KEY), "hot-patterns")
+        if not open_masks or hot.isEmpty():
+            found.append(search(rows))
             break
-        may = F.broadcast(rows.sparkSession.createDataFrame([(_signed(m),) for m in level if 64 - m.bit_count() > FREE_BITS], "mask long"))
-        hot = hot.join(may, "mask")
-        found.append(_search(rows.join(hot, ["mask", "pattern"], "left_anti"), most))
-        finer = F.broadcast(rows.sparkSession.createDataFrame([(_signed(a), _signed(b)) for a, b in deeper], "mask long, finer long"))
-        rows = materialise(rows.join(hot, ["mask", "pattern"], "left_semi").join(finer, "mask").select(F.col("finer").alias("mask"), F.col("finer").bitwiseAND(F.col("fp")).alias("pattern"), "fp").distinct(), "finer-patterns")
+        found.append(search(rows.join(hot, KEY, "left_anti")))
+        # the masks are a fixed handful
+        deeper = [(m, m | s) for m in open_masks for s in masks(most, 1, ALL_BITS & ~m)]
+        finer = F.broadcast(spark.createDataFrame([(_signed(a), _signed(b)) for a, b in deeper], "mask long, finer long"))
+        value = F.element_at(F.array(*words), (F.col("word") + 1).cast("int"))
+        rows = rows.join(hot, KEY, "left_semi").join(finer, "mask").select("word", F.col("finer").alias("mask"), F.col("finer").bitwiseAND(value).alias("pattern"), *payload)
+        rows = materialise(rows.distinct(), "finer-patterns")
         level = sorted({b for _, b in deeper})
     out = found[0]
     for more in found[1:]:
@@ -230,6 +257,15 @@ def edges(nodes: DataFrame, most: int, max_group: int = MAX_GROUP) -> DataFrame:
     return out
 
 
+def edges(nodes: DataFrame, most: int, max_group: int = MAX_GROUP) -> DataFrame:
+    """(u, v): a forest of links within each pattern of the index; nodes: distinct fp."""
+
+    def groups(starts: np.ndarray, _word: np.ndarray, _mask: np.ndarray, _pattern: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        return _edges_of_rows(starts, fps, most)
+
+    return _by_patterns(nodes.select("fp"), ["fp"], most, 1, max_group, FREE_BITS, lambda rows: _search(rows, groups, "u long, v long"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node that is in an edge and not its own root; root: the smallest node reached."""
     current = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -266,9 +302,156 @@ def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of `docs`, all columns, that represent their component."""
-    found = near_dups(docs, words, max_bits)
-    # one row per row of docs; those of repeated ids share a text or are told apart by their fingerprint
-    stays = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "stays")
-    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["doc_id"]), "left_semi")
+# --- documents whose shingles are alike ------------------------------------------------------
+
+#: Seeds of the words of a wide fingerprint, bits in which one word may differ, spare parts of a mask, bits in all,
+#: free bits at which refining ends.
+SEEDS, WORD_BITS, SPARE, WIDE_BITS, WIDE_FREE_BITS = (42, 7, 99), 5, 2, 24, 38
+#: Words of a shingle, least Jaccard similarity.
+SHINGLE, SIMILAR = 5, 0.8
+
+
+def signature(text: str | None) -> tuple[bytes, list[int]]:
+    """Key of the word sequence, and the wide fingerprint of the set of words."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    parts = (text or "").encode().lower().split()
+    words = list(set(parts))
+    wide = []
+    for seed in SEEDS:
+        hashes = [xxh64_intdigest(w, seed) for w in words]
+        wide.append(int.from_bytes(np.packbits(2 * _ones(hashes) > len(hashes)).tobytes(), "big"))
+    return xxh3_128_digest(b" ".join(parts)), wide
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> bytes:
+    """The sorted hashes of a text's different shingles."""
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64)).astype("<u8").tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets; 1 if both are empty."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, f0, f1, f2) of each row."""
+    names = ["doc_id", "key", *(f"f{k}" for k in range(len(SEEDS)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t.as_py()) for t in batch.column(1)]
+            wide = np.array([w for _, w in found], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.binary()), *(pa.array(wide[:, k]) for k in range(len(SEEDS)))], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, key binary, {', '.join(f'f{k} long' for k in range(len(SEEDS)))}")
+
+
+def _strongest(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which pairs make up a forest of least weight over positions below `size`."""
+    root, chosen = np.arange(size), []
+    for level in np.unique(weight):
+        at = np.flatnonzero(weight == level)
+        while len(at := at[root[a[at]] != root[b[at]]]):
+            x, y = root[a[at]], root[b[at]]
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]  # each root hooks on to one smaller root
+            chosen.append(at[first])
+            root[high[first]] = low[first]
+            while not np.array_equal(root, up := root[root]):
+                root = up
+    return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+
+
+def wide_edges(nodes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+    """(u, v): the strongest links within each pattern, a forest; nodes: (node, f0, f1, f2)."""
+    words = [f"f{k}" for k in range(len(SEEDS))]
+
+    def groups(starts: np.ndarray, word: np.ndarray, _mask: np.ndarray, _pattern: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        bits = np.array(wide)  # words x rows
+        sizes = np.diff(np.r_[starts, len(node)])
+        run = np.repeat(np.arange(len(starts)), sizes)
+        own = bits[word.astype(np.int64), np.arange(len(node))]
+        small = sizes[run] <= SCAN
+        far = lambda i, j: np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64)
+        for shift in range(1, min(SCAN, int(sizes.max(initial=0)))):
+            at = np.flatnonzero(small[shift:] & (run[shift:] == run[:-shift]) & (np.bitwise_count(own[shift:] ^ own[:-shift]) <= WORD_BITS))
+            at = at[far(at, at + shift) <= WIDE_BITS]
+            if len(at):
+                yield np.minimum(node[at], node[at + shift]), np.maximum(node[at], node[at + shift])
+        for k in np.flatnonzero(sizes > SCAN):
+            rows = np.arange(starts[k], starts[k] + sizes[k])
+            rows = rows[np.argsort(gray_rank(own[rows]), kind="stable")]
+            a, b, weight = (np.empty(0, np.int64) for _ in range(3))
+            for x, y in GrayIndex(own[rows]).links(WORD_BITS):
+                d = far(rows[x], rows[y])
+                x, y, d = (np.concatenate(z) for z in ((a, x[d <= WIDE_BITS]), (b, y[d <= WIDE_BITS]), (weight, d[d <= WIDE_BITS])))
+                # the strongest links of all blocks so far are among those of the parts
+                keep = _strongest(len(rows), x, y, d)
+                a, b, weight = x[keep], y[keep], d[keep]
+            if len(a):
+                u, v = node[rows[a]], node[rows[b]]
+                yield np.minimum(u, v), np.maximum(u, v)
+
+    return _by_patterns(nodes.select("node", *words), words, WORD_BITS, SPARE, max_group, WIDE_FREE_BITS, lambda rows: _search(rows, groups, "u long, v long")).distinct()
+
+
+def _few_or_merged(ids: DataFrame) -> DataFrame:
+    """A stored table of ids as the small side of a join: broadcast up to BROADCAST_ROWS rows, else merged."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
+def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, max_group: int = MAX_GROUP) -> DataFrame:
+    """(doc_id, component_id) of each row: documents joined by links of similar shingle sets.
+
+    Candidates come from the index over wide fingerprints (word sets, which edits disturb least);
+    a candidate is a link if the Jaccard similarity of its shingle sets is `least` or more.
+    Whole texts are read again only for documents that are in a candidate.
+    """
+    sigs = materialise(signatures(docs), "signatures")
+    words = [f"f{k}" for k in range(len(SEEDS))]
+    nodes = sigs.groupBy("key").agg(F.min("doc_id").alias("first_id"), *(F.min(w).alias(w) for w in words))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    candidates = materialise(wide_edges(nodes, max_group), "candidates")
+    ends = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
+    ends = materialise(nodes.select("key", "node", "first_id").join(ends, "node", "left_semi"), "candidate-nodes")
+    wanted = ends.select(F.col("first_id").alias("_wanted")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([signature(t)[0] for t in texts], pa.binary()), pa.array([shingle_set(t, shingle) for t in texts], pa.binary())], ["key", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(_few_or_merged(materialise(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    found = texts.select("text").mapInArrow(sets, "key binary, shingles binary").dropDuplicates(["key"])
+    found = materialise(found.join(ends.select("key", "node"), "key").select("node", "shingles"), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["u", "v"])
+
+    side = lambda end, name: found.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
+    both = candidates.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    roots = components(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    rooted = nodes.select("key", "node", "first_id").join(roots, "node", "left").select("key", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    classes = materialise(rooted.join(smallest.hint("merge"), "root").select("key", "component_id"), "classes")
+    return sigs.select("doc_id", "key").join(classes.hint("merge"), "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """The rows of `docs`, all columns, but those that are similar to a document with a smaller id.
+
+    A doc_id goes if all its rows do; rows without an id stay. The ids that go are the small side
+    of the last join, which moves no texts while they are few.
+    """
+    found = similar_docs(docs, shingle, least)
+    goes = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes")).where("goes")
+    goes = materialise(goes.select(F.col("doc_id").alias("_gone")), "copies")
+    return docs.join(_few_or_merged(goes), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

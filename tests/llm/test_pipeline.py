@@ -1,11 +1,10 @@
 import re
 
-import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from parallax.llm import langid, packing, secret_scan, simhash
+from parallax.llm import langid, packing, secret_scan
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,11 +19,16 @@ def slow_run(spark, rows):
         if key not in seen:
             first.append((doc_id, text))
         seen.add(key)
-    fps = np.array([simhash.fingerprint(t) for _, t in first], dtype=np.uint64)
-    label = np.arange(len(first))
+    def shingles(text):
+        w = text.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in first]
+    near = [[j for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)] for x in sets]
+    label = list(range(len(first)))
     while True:
-        new = np.array([label[np.bitwise_count(fps ^ f) <= 2].min() for f in fps])
-        if (new == label).all():
+        new = [min(label[j] for j in own) for own in near]
+        if new == label:
             break
         label = new
     stays = [first[i] for i in range(len(first)) if label[i] == i]

@@ -91,3 +91,82 @@ def test_edges(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 6, 7]
+    assert simhash.keep_one(empty).count() == 0
+
+
+def jaccard(a, b, k=5):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def copies(seed, n, edits):
+    """A text and near copies of it with so many words replaced, and as many other texts."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choice(words, 400).tolist()
+    out = [" ".join(base)]
+    for k in range(n):
+        own = list(base)
+        for at in rng.integers(0, 400, edits):
+            own[at] = f"x{k}"
+        out.append(" ".join(own))
+    return out + [" ".join(rng.choice(words, 400)) for _ in range(n)]
+
+
+def test_masks_cover_all_differences():
+    import random
+
+    rng = random.Random(1)
+    for most, spare in ((2, 1), (5, 2)):
+        cover = simhash.masks(most, spare)
+        for _ in range(300):
+            gap = sum(1 << b for b in rng.sample(range(64), most))
+            assert any(gap & m == 0 for m in cover)
+
+
+def test_similar_docs(spark):
+    texts = copies(5, 40, 3)
+    ids = list(range(len(texts)))
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    for limit in (simhash.MAX_GROUP, 10):
+        found = {r.doc_id: r.component_id for r in simhash.similar_docs(frame, max_group=limit).collect()}
+        assert all(found[i] == 0 for i in ids[:41] if jaccard(texts[0], texts[i]) >= 0.8)
+        assert all(found[i] == i for i in ids[41:])
+    kept = {r.doc_id for r in simhash.keep_one(frame).collect()}
+    assert kept == {i for i, c in found.items() if i == c}
+
+
+def test_similarity():
+    texts = [*copies(6, 4, 2), "a b c", "A b  c", "", None, "a b c d e f g h i j", "a b c d e f g h i k"]
+    for a in texts:
+        for b in texts:
+            assert simhash.similarity(simhash.shingle_set(a), simhash.shingle_set(b)) == (jaccard(a, b) if (a or "").split() or (b or "").split() else 1.0) or not ((a or "").split() and (b or "").split())
+    assert simhash.similarity(simhash.shingle_set(""), simhash.shingle_set("a")) == 0.0
+
+
+def test_strongest_links_are_a_minimum_forest():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        n = 30
+        a, b = rng.integers(0, n, 80), rng.integers(0, n, 80)
+        a, b = a[a != b], b[a != b]
+        w = rng.integers(0, 6, len(a))
+        chosen = simhash._strongest(n, a, b, w)
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        total = 0
+        for i in np.argsort(w, kind="stable"):
+            x, y = find(a[i]), find(b[i])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                total += w[i]
+        assert w[chosen].sum() == total and len(chosen) == n - len({find(x) for x in range(n)})
