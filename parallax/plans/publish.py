@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax import schemas
@@ -106,10 +106,10 @@ def family_table(replicated: DataFrame, decided: DataFrame) -> DataFrame:
 
 def forest_rows(decided: DataFrame) -> DataFrame:
     """Plot-ready rows: point, interval and place of each contrast."""
-    return decided.select("model_slug", "contrast", F.col("mean").alias("x"), F.col("ci_low").alias("x_low"), F.col("ci_high").alias("x_high"), F.row_number().over(_by_contrast()).alias("place"))
+    place = F.row_number().over(Window.partitionBy("contrast").orderBy("model_slug"))
+    return decided.select("model_slug", "contrast", F.col("mean").alias("x"), F.col("ci_low").alias("x_low"), F.col("ci_high").alias("x_high"), place.alias("place"))
 
 
-def _by_contrast():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("contrast").orderBy("model_slug")
+def equivalence_rows(decided: DataFrame) -> DataFrame:
+    """Plot-ready rows: interval and margins of each two-sided contrast."""
+    return decided.where("alternative = 'two_sided'").select("model_slug", "contrast", "ci_low", "ci_high", (-F.col("margin")).alias("margin_low"), F.col("margin").alias("margin_high"), "equivalent")

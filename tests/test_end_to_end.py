@@ -40,7 +40,7 @@ def test_tables(spark, trajectories):
     assert len(table) == 4 and [r.contrast for r in table if r.equivalence_margin is not None] == ["C4"]
     means = publish.condition_table(rows).orderBy("place").collect()
     assert [r.condition for r in means] == list(schemas.CONDITIONS)
-    assert publish.forest_rows(decided).count() == 4
+    assert publish.forest_rows(decided).count() == 4 and publish.equivalence_rows(decided).count() == 1
 
 
 def test_gates(spark, trajectories):

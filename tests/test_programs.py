@@ -158,3 +158,19 @@ def test_audit_sample(spark, programs):
     assert required <= set().union(*(by_task[t] for t in chosen))
     with pytest.raises(ir.ProgramError):
         ir.audit_sample(by_task, {"goto"}, 1, 1)
+
+
+def test_validation_report(spark, programs):
+    from parallax.plans import stimuli
+
+    tasks = spark.createDataFrame([(name, family, f"Write {name}.", [f"{name} in words"], [source]) for name, family, source in CORPUS], schemas.TASK)
+    rendered = frames.render_programs(programs).cache()
+    found = {r.check: (r.actual, r.passed) for r in stimuli.report(tasks, programs, rendered, 1, True).collect()}
+    assert all(passed for _, passed in found.values()) and len(found) == 9, found
+    from pyspark.sql import functions as F
+
+    broken = rendered.withColumn("reference_text", F.when(F.col("trajectory_id").startswith("scan_max"), F.regexp_replace("reference_text", "scan_max|best|zav0", "other")).otherwise(F.col("reference_text")))
+    failed = {r.check for r in stimuli.report(tasks, programs, broken, 1, coverage=False).where("not passed").collect()}
+    assert {"changed_anchors", "lines_without_interface"} <= failed
+    assert stimuli.audit_rows(rendered, ["scan_max"]).count() == 6
+    rendered.unpersist()
