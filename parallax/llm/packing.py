@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import WORD, prefix_sum
+from parallax.llm.common import WORD, materialise, prefix_sum
 
 #: Longest segment, tokens of a batch with padding, buckets, blocks of the numbering of one bucket.
 MAX_LEN, BUDGET, BUCKETS, SALTS = 2048, 1 << 16, 8, 1024
@@ -61,7 +61,8 @@ def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> l
 def segments(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """(doc_id, segment, start, n_tokens)."""
     length = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long") + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("all_tokens"))
+    # texts are read once; the histogram and both passes of the numbering read lengths
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("all_tokens")), "lengths")
     rows = rows.select("doc_id", "all_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_tokens") - 1) / max_len).cast("long"))).alias("segment"))
     start = F.col("segment") * max_len
     return rows.select("doc_id", "segment", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("all_tokens") - start).alias("n_tokens"))
