@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def unused_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like `wanted` that no column of `df` has in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to shared storage and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm.common import SPACE, materialise
+from parallax.llm.common import SPACE, materialise, unused_names
 
 
 def normalised(text: Column) -> Column:
@@ -80,12 +80,13 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     Texts move through one shuffle keyed by (digest, doc_id), under which the copies of a
     hot text spread over all tasks.
     """
-    key, mark = "_digest", "_keep"
+    key, row, without = unused_names(docs, "_digest", "_id", "_null")
     tagged = docs.withColumn(key, digest(F.col("text")))
     hashed = materialise(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("digest")), "digests")
     resolved = materialise(index.resolve(hashed), "resolved")
     index.append(resolved)
-    stays = resolved.where("not known").select(F.col("digest").alias("_d"), F.coalesce("keep_id", F.lit(0)).alias(mark), F.col("keep_id").isNull().alias("_none"))
-    tagged = tagged.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
-    kept = tagged.join(stays.hint("merge"), (F.col(key) == F.col("_d")) & (F.col("_id") == F.col(mark)) & (F.col("_null") == F.col("_none")), "left_semi")
-    return kept.dropDuplicates([key, "_id", "_null"]).select(*docs.columns)
+    identity = lambda c: {row: F.coalesce(c, F.lit(0)), without: c.isNull()}
+    stays = resolved.where("not known").withColumns(identity(F.col("keep_id"))).select(F.col("digest").alias(key), row, without)
+    tagged = tagged.withColumns(identity(F.col("doc_id").cast("long")))
+    kept = tagged.join(stays.hint("merge"), [key, row, without], "left_semi")
+    return kept.dropDuplicates([key, row, without]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Sets of strings larger than this are cut to prefixes and suffixes; segments have so many bytes or rows at most.
 MAX_SET, SEGMENT_BYTES, SEGMENT_ROWS = 24, 4 << 20, 1024
@@ -313,9 +314,10 @@ def digests(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with all its columns; secrets in `text` are replaced by a mark, n_chars follows if there is one."""
+    """`docs` with all its columns; secrets in `text` are replaced by a mark, a numeric n_chars follows if there is one."""
     schema, names = docs.schema, docs.columns
-    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    at = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(rules)

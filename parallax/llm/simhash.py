@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import materialise
+from parallax.llm.common import materialise, unused_names
 
 SEED = 42
 #: Shingles that are in memory at once; nodes of one pattern before it is refined; free bits at which refining ends.
@@ -453,5 +453,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR) ->
     """
     found = similar_docs(docs, shingle, least)
     goes = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes")).where("goes")
-    goes = materialise(goes.select(F.col("doc_id").alias("_gone")), "copies")
-    return docs.join(_few_or_merged(goes), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = unused_names(docs, "_gone")
+    goes = materialise(goes.select(F.col("doc_id").alias(gone)), "copies")
+    return docs.join(_few_or_merged(goes), F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -57,6 +57,18 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, empty, stage):
     assert stage(spark, empty, SMALL).count() == 0
 
 
+def test_columns_of_clashing_names(spark):
+    rows = [(1, "same text", "en", "password = hunter22", 7, "a", "x"), (2, "same text", "fr", "t", 8, "b", "y"), (3, "my token: abcdefgh", "en", "u", 9, "c", "z")]
+    names = "doc_id long, text string, lang string, n_chars string, _digest long, _gone string, keep_id string"
+    frame = spark.createDataFrame([(a, b, c, d, e, f, g) for a, b, c, d, e, f, g in rows], names)
+    kept = {r.doc_id: tuple(r) for r in corpus_pipeline.exact_copies(spark, frame, SMALL).collect()}
+    assert kept == {1: rows[0], 3: rows[2]}
+    assert {r.doc_id: tuple(r) for r in corpus_pipeline.near_copies(spark, frame, SMALL).collect()} == kept
+    masked = {r.doc_id: r for r in corpus_pipeline.secrets(spark, frame, SMALL).collect()}
+    assert masked[3].text == "my token: [SECRET]" and masked[3].n_chars == "u"
+    assert corpus_pipeline.batches(spark, frame, SMALL).count() == 3
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "secret scans", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and packing.MAX_LEN <= packing.BUDGET
