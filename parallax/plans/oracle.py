@@ -190,4 +190,13 @@ SQL: dict[str, str] = {
     "seeded_order": "SELECT o_orderkey, md5('20260916:' || o_orderkey) AS draw FROM orders ORDER BY draw, o_orderkey LIMIT 100",
     "nested_span_sort": f"WITH {_PIECES} SELECT item_id, string_agg(start_char::BIGINT || ':' || end_char::BIGINT, ',' ORDER BY start_char DESC, end_char DESC) AS replacements FROM pc WHERE length(piece) > 6 GROUP BY ALL",
     "rolled_levels": f"WITH {_M} SELECT condition, family, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_price FROM m GROUP BY ROLLUP (condition, family)",
+    # studies
+    "cross_model_table": f"""WITH o AS (SELECT c_mktsegment AS model, c_nationkey AS task_id, avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') - avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        s AS (SELECT model, {_STATS.format(x="x")} FROM o WHERE x IS NOT NULL GROUP BY ALL), q AS (SELECT *, mean / nullif(sd, 0) AS cohens_dz, {_tail("positive", "n")} AS p FROM s),
+        r AS (SELECT *, p < 0.9 AS p_below_alpha, coalesce(mean - sd > 0, false) AS ci_above_zero, positive >= 5 AS enough_tasks, positive >= 5 AS enough_families FROM q), t AS (SELECT *, p_below_alpha AND ci_above_zero AND enough_tasks AND enough_families AS all_four_pass FROM r)
+        SELECT model, n, {_r6("mean", "cohens_dz")}, positive, p_below_alpha, ci_above_zero, enough_tasks, enough_families, all_four_pass, count(*) FILTER (all_four_pass) OVER () AS models_passing FROM t""",
+    "pre_analysis_gates": """WITH c AS (SELECT count(*) AS n, count(DISTINCT event_id) AS ids, bool_and(value > 0) AS valid FROM events), g AS (SELECT count(*) AS cells, count(*) FILTER (n <> 3) AS other FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)),
+        k(kind) AS (VALUES ('click'), ('view'), ('purchase')), v AS (SELECT kind, coalesce(avg(value / 500) >= 0.05, false) AS ok FROM k LEFT JOIN events ON event_type = kind GROUP BY ALL)
+        SELECT 'trajectories' AS "check", '10000' AS expected, n::VARCHAR AS actual, n = 10000 AS passed FROM c UNION ALL SELECT 'distinct_ids', '10000', ids::VARCHAR, ids = 10000 FROM c UNION ALL SELECT 'all_valid', 'true', valid::VARCHAR, valid FROM c
+        UNION ALL SELECT 'cells', '500', cells::VARCHAR, cells = 500 FROM g UNION ALL SELECT 'cells_of_other_size', '0', other::VARCHAR, other = 0 FROM g UNION ALL SELECT 'coverage_' || kind, 'true', ok::VARCHAR, ok FROM v""",
 }

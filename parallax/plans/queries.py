@@ -614,3 +614,29 @@ def rename_programs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def construct_histogram(spark: SparkSession, d: str) -> DataFrame:
     return frames.construct_histogram(_programs(spark))
+
+
+# --- studies ---------------------------------------------------------------------------------
+
+
+@query
+def cross_model_table(spark: SparkSession, d: str) -> DataFrame:
+    """One row per segment with its two-condition statistics, the criteria, and how many segments pass all."""
+    orders = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders.select(F.col("c_mktsegment").alias("model"), F.col("c_nationkey").cast("long").alias("task_id"), F.col("o_orderpriority").alias("condition"), F.col("o_totalprice").alias("price"))
+    table = C.wide(C.condition_means(rows, ["model", "task_id", "condition"], ["price"]), ["model", "task_id"], "condition", ("1-URGENT", "5-LOW"), ["price"])
+    deltas = C.deltas_wide(table, ["price"], "1-URGENT", "5-LOW")
+    stats = I.describe(deltas, ["model"], "delta_price").withColumn("p", I.exact_sign_p(F.col("positive"), F.col("n"), F.lit(False)))
+    rules = V.four_criteria(F.col("p"), F.col("mean") - F.col("sd"), F.col("positive"), F.col("positive"), 0.9, 5, 5)
+    out = stats.withColumns(rules)
+    # one row per model
+    passes = F.count(F.when(F.col("all_four_pass"), 1)).over(Window.partitionBy(F.lit(1)))
+    return out.select("model", "n", r6("mean").alias("mean"), r6("cohens_dz").alias("cohens_dz"), "positive", *rules, passes.alias("models_passing"))
+
+
+@query
+def pre_analysis_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The gates of trajectory rows: count, identity, validity, cell sizes, coverage."""
+    rows = load(spark, d, "events").select(F.col("event_id").cast("string").alias("trajectory_id"), F.col("user_id").alias("task_id"), F.col("event_type").alias("condition"), (F.col("value") > 0).alias("trajectory_valid"), (F.col("value") / 500).alias("step_mapped_token_fraction"))
+    kinds = ("click", "view", "purchase")
+    return Q.trajectory_gates(rows, 10_000, 500, 3, kinds, 0.05)
