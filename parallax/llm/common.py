@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = "file://" + tempfile.mkdtemp(prefix="parallax-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    made = tempfile.mkdtemp(prefix="parallax-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}"
 
 
 def unused_names(df: DataFrame, *wanted: str) -> list[str]:
