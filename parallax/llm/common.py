@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,23 @@ def unused_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table when the driver ends; readers of it may live until then."""
+    place, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone by now
+            place.getFileSystem(conf).delete(place, True)
+
+    atexit.register(remove)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to shared storage and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
