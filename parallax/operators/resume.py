@@ -6,6 +6,7 @@ trajectory as complete and token rows without one are left-overs of a crash.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,20 @@ def in_frozen_order(records: DataFrame, order: DataFrame, key: str, position: st
     both = left.join(right, key, "full_outer")
     fine = F.assert_true(F.col("_r").isNotNull() & F.col("_ord").isNotNull(), F.concat(F.lit("id on one side only: "), F.col(key)))
     return both.withColumn(position, F.when(fine.isNull(), F.col("_ord"))).drop("_r", "_ord").orderBy(position)
+
+
+#: Ids that a frozen order may hold; they pass through the driver.
+MAX_ORDER = 1_000_000
+
+
+def frozen_permutation(records: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(key, ord): the seeded shuffle of a run's ids, the same in every run and on every cluster.
+
+    Ids are shuffled from their order of `by` (default: the key) by Python's generator. A run's
+    trajectories are few; for more ids than MAX_ORDER order by a hash of (seed, id) instead.
+    """
+    ids = [r[0] for r in records.orderBy(*(by or [key])).select(key).limit(MAX_ORDER + 1).collect()]
+    if len(ids) > MAX_ORDER:
+        raise ValueError(f"more than {MAX_ORDER} ids for a frozen order")
+    random.Random(seed).shuffle(ids)
+    return records.sparkSession.createDataFrame(list(enumerate(ids)), f"ord long, `{key}` {records.schema[key].dataType.simpleString()}").select(key, "ord")

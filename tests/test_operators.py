@@ -147,3 +147,14 @@ def test_texts(spark):
     words = spark.createDataFrame([("a/b é.x-_",)], "t string")
     assert words.select(text.slug(F.col("t"))).first()[0] == "a_b_é.x-_"
     assert words.select(text.missing_strings(F.col("t"), ["a/b", "zz"])).first()[0] == ["zz"]
+
+
+def test_frozen_permutation(spark):
+    import random
+
+    rows = spark.createDataFrame([(f"t{k}",) for k in range(50)], "trajectory_id string").repartition(5)
+    want = sorted(f"t{k}" for k in range(50))
+    random.Random(20260916).shuffle(want)
+    order = resume.frozen_permutation(rows, "trajectory_id", 20260916)
+    assert [r.trajectory_id for r in order.orderBy("ord").collect()] == want
+    assert [r.trajectory_id for r in resume.in_frozen_order(rows, order, "trajectory_id").collect()] == want
