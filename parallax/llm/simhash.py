@@ -385,7 +385,8 @@ def wide_edges(nodes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
                 yield np.minimum(node[at], node[at + shift]), np.maximum(node[at], node[at + shift])
         for k in np.flatnonzero(sizes > SCAN):
             rows = np.arange(starts[k], starts[k] + sizes[k])
-            rows = rows[np.argsort(gray_rank(own[rows]), kind="stable")]
+            # ties go by fingerprints: what is kept must not depend on the order in which rows arrive
+            rows = rows[np.lexsort((node[rows], *bits[:, rows], gray_rank(own[rows])))]
             a, b, weight = (np.empty(0, np.int64) for _ in range(3))
             for x, y in GrayIndex(own[rows]).links(WORD_BITS):
                 d = far(rows[x], rows[y])
