@@ -16,9 +16,9 @@ linked if they differ in `max_bits` bits or fewer; a component is what links rea
    nodes, never with pairs. Components are then found by alternating large-star and small-star
    rounds on stored tables.
 
-`near_dups` links by fingerprint alone. `similar_docs` uses the same index on wide fingerprints to
-find candidates for a shingle similarity, keeps a pattern's strongest links and measures those on
-whole texts.
+`near_dups` links by fingerprint alone. `similar_docs` links by shingle similarity: its candidates
+share a band of a sketch of their shingles, and it measures them all on whole texts, but those that
+links found before connect.
 
 Defined cases: a null or empty text has fingerprint zero; fewer words than a shingle count as
 one shingle; rows with a null doc_id are linked like others but represent a component only if
@@ -27,12 +27,12 @@ all its rows lack an id; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax.llm.common import materialise, unused_names
@@ -181,8 +181,8 @@ def _edges_of_rows(starts: np.ndarray, fps: np.ndarray, most: int) -> Iterator[t
 KEY = ["word", "mask", "pattern"]
 
 
-def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ...]]], schema: str) -> DataFrame:
-    """What `groups` makes of the rows, whose columns it gets as arrays: whole patterns, each in one run of equal keys."""
+def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ...]]], schema: str, key: list[str] = KEY, order: Sequence[str] = ()) -> DataFrame:
+    """What `groups` makes of the rows, whose columns it gets as arrays, `key` first: whole patterns, each in one run of equal keys."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,19 +195,19 @@ def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ..
             if now is None or not len(now[0]):
                 continue
             # the last pattern may go on in the next batch
-            cut = len(now[0]) if batch is None else int(_starts(now)[-1])
+            cut = len(now[0]) if batch is None else int(_starts(now, len(key))[-1])
             held = [x[cut:] for x in now]
-            for found in groups(_starts([x[:cut] for x in now]) if cut else np.empty(0, np.int64), *(x[:cut] for x in now)):
+            for found in groups(_starts([x[:cut] for x in now], len(key)) if cut else np.empty(0, np.int64), *(x[:cut] for x in now)):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in found], names)
 
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
-def _starts(columns: list[np.ndarray]) -> np.ndarray:
+def _starts(columns: list[np.ndarray], keys: int) -> np.ndarray:
     """Where each run of equal keys starts."""
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
-    for x in columns[: len(KEY)]:
+    for x in columns[:keys]:
         new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 
@@ -304,24 +304,23 @@ def as_hex(fp: str = "fp"):
 
 # --- documents whose shingles are alike ------------------------------------------------------
 
-#: Seeds of the words of a wide fingerprint, bits in which one word may differ, spare parts of a mask, bits in all,
-#: free bits at which refining ends.
-SEEDS, WORD_BITS, SPARE, WIDE_BITS, WIDE_FREE_BITS = (42, 7, 99), 5, 2, 24, 38
 #: Words of a shingle, least Jaccard similarity.
 SHINGLE, SIMILAR = 5, 0.8
+#: Minima in a band, bands: texts of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8.
+ROWS, BANDS = 5, 20
+#: Shingles of one text that are hashed at once; how much wider each round's window is than the last.
+SKETCH_CHUNK, WIDEN = 1 << 12, 4
+#: Classes in which a text's shingles are counted (one byte each, eight to a column); pairs whose counts are compared at once.
+CLASSES, COMPARE = 256, 1 << 14
+#: Odd factors: multiplied by each, the shingle hashes come in another order.
+FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: str | None) -> tuple[bytes, list[int]]:
-    """Key of the word sequence, and the wide fingerprint of the set of words."""
-    from xxhash import xxh3_128_digest, xxh64_intdigest
+def word_key(text: str | None) -> bytes:
+    """Key of the word sequence."""
+    from xxhash import xxh3_128_digest
 
-    parts = (text or "").encode().lower().split()
-    words = list(set(parts))
-    wide = []
-    for seed in SEEDS:
-        hashes = [xxh64_intdigest(w, seed) for w in words]
-        wide.append(int.from_bytes(np.packbits(2 * _ones(hashes) > len(hashes)).tobytes(), "big"))
-    return xxh3_128_digest(b" ".join(parts)), wide
+    return xxh3_128_digest(b" ".join((text or "").encode().lower().split()))
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> bytes:
@@ -336,18 +335,51 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, f0, f1, f2) of each row."""
-    names = ["doc_id", "key", *(f"f{k}" for k in range(len(SEEDS)))]
+def sketch(shingles: bytes) -> list[int]:
+    """The bucket of a shingle set in each band: a hash of the least values of its shingles in ROWS orders."""
+    from xxhash import xxh64_intdigest
+
+    hashes, least = np.frombuffer(shingles, "<u8"), np.full(ROWS * BANDS, ALL_BITS, np.uint64)
+    for i in range(0, len(hashes), SKETCH_CHUNK):
+        least = np.minimum(least, (FACTORS[:, None] * hashes[i : i + SKETCH_CHUNK]).min(axis=1))
+    return [xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def class_counts(shingles: bytes) -> np.ndarray:
+    """How many shingles fall in each class, as bytes; all 255 if a class has more, which leaves every bound open."""
+    counts = np.bincount(np.frombuffer(shingles, np.uint8)[::8], minlength=CLASSES)
+    return counts.astype(np.uint8) if counts.max() <= 255 else np.full(CLASSES, 255, np.uint8)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the shingles that each pair of rows of class counts shares."""
+    shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    full = (a == 255).all(axis=1) | (b == 255).all(axis=1)
+    return np.where(full, np.iinfo(np.int64).max, shared)
+
+
+BUCKETS = [f"b{k}" for k in range(BANDS)]
+COUNTS = [f"c{k}" for k in range(CLASSES // 8)]
+
+
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, key, size, b0, b1, ...) of each row; size: different shingles."""
+    names = ["doc_id", "key", "size", *BUCKETS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(t.as_py()) for t in batch.column(1)]
-            wide = np.array([w for _, w in found], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.binary()), *(pa.array(wide[:, k]) for k in range(len(SEEDS)))], names)
+            keys, sizes, found = [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                shingles = shingle_set(text, shingle)
+                keys.append(word_key(text))
+                sizes.append(len(shingles) // 8)
+                found.append(sketch(shingles))
+            bands = np.array(found, np.uint64).reshape(-1, BANDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(bands[:, k]) for k in range(BANDS))], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, key binary, {', '.join(f'f{k} long' for k in range(len(SEEDS)))}")
+    return rows.mapInArrow(run, f"doc_id long, key binary, size long, {', '.join(f'{b} long' for b in BUCKETS)}")
 
 
 def _strongest(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -367,38 +399,33 @@ def _strongest(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> n
     return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
 
 
-def wide_edges(nodes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """(u, v): the strongest links within each pattern, a forest; nodes: (node, f0, f1, f2)."""
-    words = [f"f{k}" for k in range(len(SEEDS))]
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(bucket, size, node, root, n) of the buckets of n > 1 nodes; nodes: (node, size, b0, b1, ...). No links yet: a node is its own root."""
+    rows = nodes.select(F.explode(F.array(*BUCKETS)).alias("bucket"), "size", "node", F.col("node").alias("root"))
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+
+
+def window_pairs(members: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """(u, v), u < v: nodes of a bucket, `low` to `high` - 1 places apart by size, that are not connected yet.
 
-    def groups(starts: np.ndarray, word: np.ndarray, _mask: np.ndarray, _pattern: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        bits = np.array(wide)  # words x rows
+    A pair is left out only if its sizes or class counts prove that its similarity is below `least`.
+    """
+
+    def groups(starts: np.ndarray, _bucket: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         sizes = np.diff(np.r_[starts, len(node)])
         run = np.repeat(np.arange(len(starts)), sizes)
-        own = bits[word.astype(np.int64), np.arange(len(node))]
-        small = sizes[run] <= SCAN
-        far = lambda i, j: np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64)
-        for shift in range(1, min(SCAN, int(sizes.max(initial=0)))):
-            at = np.flatnonzero(small[shift:] & (run[shift:] == run[:-shift]) & (np.bitwise_count(own[shift:] ^ own[:-shift]) <= WORD_BITS))
-            at = at[far(at, at + shift) <= WIDE_BITS]
-            if len(at):
-                yield np.minimum(node[at], node[at + shift]), np.maximum(node[at], node[at + shift])
-        for k in np.flatnonzero(sizes > SCAN):
-            rows = np.arange(starts[k], starts[k] + sizes[k])
-            # ties go by fingerprints: what is kept must not depend on the order in which rows arrive
-            rows = rows[np.lexsort((node[rows], *bits[:, rows], gray_rank(own[rows])))]
-            a, b, weight = (np.empty(0, np.int64) for _ in range(3))
-            for x, y in GrayIndex(own[rows]).links(WORD_BITS):
-                d = far(rows[x], rows[y])
-                x, y, d = (np.concatenate(z) for z in ((a, x[d <= WIDE_BITS]), (b, y[d <= WIDE_BITS]), (weight, d[d <= WIDE_BITS])))
-                # the strongest links of all blocks so far are among those of the parts
-                keep = _strongest(len(rows), x, y, d)
-                a, b, weight = x[keep], y[keep], d[keep]
-            if len(a):
-                u, v = node[rows[a]], node[rows[b]]
-                yield np.minimum(u, v), np.maximum(u, v)
-
-    return _by_patterns(nodes.select("node", *words), words, WORD_BITS, SPARE, max_group, WIDE_FREE_BITS, lambda rows: _search(rows, groups, "u long, v long")).distinct()
+        classes, size = np.stack(counts, axis=1).view(np.uint8), size.astype(np.int64)
+        for shift in range(low, min(high, int(sizes.max(initial=0)))):
+            at = np.flatnonzero((run[shift:] == run[:-shift]) & (root[shift:] != root[:-shift]) & (size[:-shift] / np.maximum(size[shift:], 1) >= least))
+            for k in range(0, len(at), COMPARE):
+                one, two = at[k : k + COMPARE], at[k : k + COMPARE] + shift
+                shared = np.minimum(size[one], most_shared(classes[one], classes[two]))
+                alike = shared / np.maximum(size[one] + size[two] - shared, 1) >= least
+                if alike.any():
+                    u, v = node[one[alike]], node[two[alike]]
+                    yield np.minimum(u, v), np.maximum(u, v)
+
+    return _search(members.select("bucket", "size", "node", "root", *COUNTS), groups, "u long, v long", ["bucket"], ["size", "node"]).distinct()
 
 
 def _few_or_merged(ids: DataFrame) -> DataFrame:
@@ -409,36 +436,60 @@ def _few_or_merged(ids: DataFrame) -> DataFrame:
 def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, max_group: int = MAX_GROUP) -> DataFrame:
     """(doc_id, component_id) of each row: documents joined by links of similar shingle sets.
 
-    Candidates come from the index over wide fingerprints (word sets, which edits disturb least);
-    a candidate is a link if the Jaccard similarity of its shingle sets is `least` or more.
+    Candidates are the pairs that share a bucket of their sketches. All of them are measured on
+    whole texts, in rounds over wider and wider windows of a bucket, but those that earlier links
+    already connect or class counts rule out; a round sets a node against `max_group` others of a bucket at most. A
+    candidate is a link if the Jaccard similarity of its shingle sets is `least` or more.
     Whole texts are read again only for documents that are in a candidate.
     """
-    sigs = materialise(signatures(docs), "signatures")
-    words = [f"f{k}" for k in range(len(SEEDS))]
-    nodes = sigs.groupBy("key").agg(F.min("doc_id").alias("first_id"), *(F.min(w).alias(w) for w in words))
+    sigs = materialise(signatures(docs, shingle), "signatures")
+    nodes = sigs.groupBy("key").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in ["size", *BUCKETS]))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    candidates = materialise(wide_edges(nodes, max_group), "candidates")
-    ends = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
-    ends = materialise(nodes.select("key", "node", "first_id").join(ends, "node", "left_semi"), "candidate-nodes")
+    members = materialise(bucket_members(nodes), "buckets")
+    ends = materialise(nodes.select("key", "node", "first_id").join(members.select("node").distinct(), "node", "left_semi"), "candidate-nodes")
     wanted = ends.select(F.col("first_id").alias("_wanted")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(t)[0] for t in texts], pa.binary()), pa.array([shingle_set(t, shingle) for t in texts], pa.binary())], ["key", "shingles"])
+            found = [shingle_set(t, shingle) for t in texts]
+            counts = np.array([class_counts(x) for x in found], np.uint8).reshape(-1, CLASSES).view(np.int64)
+            columns = [pa.array([word_key(t) for t in texts], pa.binary()), pa.array(found, pa.binary()), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", *COUNTS])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(_few_or_merged(materialise(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    found = texts.select("text").mapInArrow(sets, "key binary, shingles binary").dropDuplicates(["key"])
-    found = materialise(found.join(ends.select("key", "node"), "key").select("node", "shingles"), "shingles")
+    found = texts.select("text").mapInArrow(sets, f"key binary, shingles binary, {', '.join(f'{c} long' for c in COUNTS)}").dropDuplicates(["key"])
+    found = materialise(found.join(ends.select("key", "node"), "key").select("node", "shingles", *COUNTS), "shingles")
+    members = materialise(members.join(found.select("node", *COUNTS).hint("merge"), "node"), "counted-buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["u", "v"])
-
-    side = lambda end, name: found.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
-    both = candidates.join(side("u", "a"), "u").join(side("v", "b"), "v")
-    roots = components(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+            links = batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["u", "v"])
+            # links that others of the batch replace are not needed: all of them are similar
+            names, place = np.unique(np.concatenate([np.asarray(c) for c in links.columns]), return_inverse=True)
+            a, b = place[: links.num_rows], place[links.num_rows :]
+            yield links.take(pa.array(_strongest(len(names), a, b, np.zeros(len(a), np.int64))))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        own = found.select("node", "shingles").join(_few_or_merged(materialise(asked, "asked")), "node", "left_semi")
+        side = lambda end, name: own.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
+        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+    roots = sigs.sparkSession.createDataFrame([], "node long, root long")
+    low, largest = 1, members.agg(F.max("n")).first()[0] or 0
+    while low < largest:
+        high = min(low * WIDEN, low + max_group)
+        pairs = materialise(window_pairs(members, low, high, least), "candidates")
+        if not pairs.isEmpty():
+            roots = components(links(pairs).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        # what goes on: buckets with members further apart and more than one component
+        whole = Window.partitionBy("bucket")
+        now = members.where(F.col("n") > high).drop("root").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = now.withColumn("mixed", F.min("root").over(whole) < F.max("root").over(whole)).where("mixed").select(*members.columns)
+        members = materialise(now, "buckets")
+        low, largest = high, members.agg(F.max("n")).first()[0] or 0
     rooted = nodes.select("key", "node", "first_id").join(roots, "node", "left").select("key", "first_id", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "rooted")
     smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")

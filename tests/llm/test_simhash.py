@@ -170,3 +170,74 @@ def test_strongest_links_are_a_minimum_forest():
                 root[max(x, y)] = min(x, y)
                 total += w[i]
         assert w[chosen].sum() == total and len(chosen) == n - len({find(x) for x in range(n)})
+
+
+def brute_components(texts, least=0.8):
+    """Smallest position reachable over pairs that are similar enough, by brute force."""
+    near = [[j for j, y in enumerate(texts) if jaccard(x, y) >= least] for x in texts]
+    label = list(range(len(texts)))
+    while True:
+        new = [min(label[j] for j in own) for own in near]
+        if new == label:
+            return label
+        label = new
+
+
+def orders(seed, n, words=200, moved=10):
+    """n orders of the same words, and a near copy of each."""
+    rng = np.random.default_rng(seed)
+    first = [rng.permutation([f"w{i}" for i in range(words)]).tolist() for _ in range(n)]
+    return [" ".join(x) for x in [*first, *(x[moved:] + x[:moved] for x in first)]]
+
+
+def templates(seed, n, shared=300, own=100, words=3000):
+    """n texts that share most words but are not similar, and a near copy of every third."""
+    rng = np.random.default_rng(seed)
+    frame = rng.integers(0, words, shared).tolist()
+    first = [[f"w{i}" for i in frame] + [f"d{k}_{i}" for i in range(own)] for k in range(n)]
+    return [" ".join(x) for x in [*first, *(x[5:] + [f"e{k}"] for k, x in enumerate(first) if k % 3 == 0)]]
+
+
+def test_links_do_not_depend_on_how_many_share_a_bucket(spark):
+    for texts in (orders(7, 30), templates(8, 45)):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        want = brute_components(texts)
+        assert 0 < sum(i != c for i, c in enumerate(want)) < len(texts) - 1
+        for limit in (simhash.MAX_GROUP, 5):
+            assert [r.component_id for r in simhash.similar_docs(frame, max_group=limit).orderBy("doc_id").collect()] == want
+
+
+def blocks(seed, n, words, likeness):
+    """Pairs of a text and the same with a block of new words added, or cut off, whose similarity is just above `likeness`."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        whole = [f"w{x}" for x in rng.integers(0, 1 << 40, words)]
+        keep = int(np.ceil(likeness * (words - 4))) + 4
+        at = [0, keep // 2, keep][k % 3]
+        block = [f"n{x}" for x in rng.integers(0, 1 << 40, words - keep)]
+        yield (" ".join(whole[:keep]), " ".join(whole)) if k % 2 else (" ".join(whole[:keep]), " ".join(whole[:at] + block + whole[at:keep]))
+
+
+def test_recall_of_added_and_cut_blocks():
+    for likeness in (0.8, 0.83, 0.87, 0.9):
+        pairs = [(a, b) for words in (100, 400) for a, b in blocks(3, 150, words, likeness)]
+        alike = [(a, b) for a, b in pairs if jaccard(a, b) >= 0.8]
+        found = sum(any(x == y for x, y in zip(*(simhash.sketch(simhash.shingle_set(t)) for t in pair), strict=True)) for pair in alike)
+        assert len(alike) >= 140 and found >= 0.98 * len(alike)
+
+
+def test_added_and_cut_blocks_are_linked(spark):
+    texts = [t for likeness in (0.82, 0.9) for pair in blocks(4, 30, 100, likeness) for t in pair]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(texts)
+    found = [r.component_id for r in simhash.similar_docs(frame).orderBy("doc_id").collect()]
+    assert sum(a == b for a, b in zip(found, want, strict=True)) >= 0.98 * len(want) and sum(i != c for i, c in enumerate(want)) >= 40
+
+
+def test_class_counts_never_rule_out_a_link():
+    texts = [*copies(10, 20, 6), *orders(11, 6), "", "a b", " ".join(f"w{i}" for i in range(90_000))]
+    sets = [simhash.shingle_set(t) for t in texts]
+    counts = np.array([simhash.class_counts(s) for s in sets])
+    for i, x in enumerate(sets):
+        bound = simhash.most_shared(np.repeat(counts[i : i + 1], len(sets), axis=0), counts)
+        assert all(len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))) <= b for y, b in zip(sets, bound, strict=True))
