@@ -2,9 +2,10 @@
 
 A zstandard ratio (compressed / raw bytes) below a band's floor means repetition, above its
 ceiling incompressible junk. Limits depend on length, because short texts carry the frame's
-overhead and have little to repeat. Long texts are also cut into chunks of `CHUNK` bytes,
-each held against limits of its own; a text fails if more than `BAD_CHUNKS` of its full chunks
-do, which finds junk that the rest of a document hides. Everything is row-local.
+overhead and have little to repeat. Texts of `CHUNK` bytes or more are also cut into chunks of
+that size, each held against limits of its own; the last one reaches back to be full, so that
+every byte is judged. A text fails if more than `BAD_CHUNKS` of its chunks do, which finds junk
+that the rest of a document hides. Everything is row-local.
 
 Defined cases: a null or empty text has no words and fails the base rules; texts shorter than
 the first band are judged by the base rules alone.
@@ -76,12 +77,13 @@ class Bands:
         return len(self._zstd.compress(raw)) / len(raw)
 
     def judge(self, raw: bytes) -> tuple[bool, float | None, int, int]:
-        """Passes, ratio of the whole, full chunks, bad ones."""
+        """Passes, ratio of the whole, chunks, bad ones."""
         if len(raw) < BANDS[0][0]:
             return True, None, 0, 0
         ratio = self.ratio(raw)
         low, high = next((low, high) for start, low, high in reversed(BANDS) if len(raw) >= start)
-        chunks = [self.ratio(raw[i : i + CHUNK]) for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
+        starts = [min(i, len(raw) - CHUNK) for i in range(0, len(raw), CHUNK)] if len(raw) >= CHUNK else []
+        chunks = [self.ratio(raw[i : i + CHUNK]) for i in starts]
         bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
         return low <= ratio <= high and bad <= BAD_CHUNKS * len(chunks), ratio, len(chunks), bad
 

@@ -46,3 +46,15 @@ def test_edges(docs, empty):
             assert (r.n_words, r.base_failed, r.kept, r.ratio) == (0, True, False, None)
         if r.doc_id == 6:
             assert (r.n_words, r.n_repeat_words, r.kept) == (60000, 60000, False)
+
+
+def test_every_byte_is_in_a_chunk():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words) for _ in range(4000)).encode()
+    junk = bytes(rng.randrange(33, 127) for _ in range(4095))
+    bands = quality.Bands()
+    assert bands.judge(prose[:4095])[2:] == (0, 0) and bands.judge(prose[:4096])[2:] == (1, 0) and bands.judge(prose[:8193])[2:] == (3, 0)
+    for first, last in ((prose[:4096], junk), (junk, prose[:4096])):
+        assert not bands.judge(first + last)[0] and bands.judge(first + last)[2] == 2
+    assert bands.judge(prose[:8192] + junk)[2:] == bands.judge(junk + prose[:8192])[2:] == (3, 1)
