@@ -1,3 +1,4 @@
+import base64
 import random
 
 import pyarrow.parquet as pq
@@ -58,3 +59,13 @@ def test_every_byte_is_in_a_chunk():
     for first, last in ((prose[:4096], junk), (junk, prose[:4096])):
         assert not bands.judge(first + last)[0] and bands.judge(first + last)[2] == 2
     assert bands.judge(prose[:8192] + junk)[2:] == bands.judge(junk + prose[:8192])[2:] == (3, 1)
+
+
+def test_base64_lines_are_rejected():
+    rng = random.Random(6)
+    bands = quality.Bands()
+    for n in (300, 700, 1200, 3000, 5000, 20000, 80000):
+        lines = base64.encodebytes(rng.randbytes(n))[:n]
+        assert not bands.judge(lines)[0], n
+    dump = base64.encodebytes(rng.randbytes(3000)).decode()
+    assert not quality.base(dump)[-1] and not bands.judge(dump.encode())[0]
