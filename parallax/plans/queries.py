@@ -243,12 +243,12 @@ def bootstrap_hash(spark: SparkSession, d: str) -> DataFrame:
 @query
 def resample_numpy(spark: SparkSession, d: str) -> DataFrame:
     rows = _deltas(spark, d).withColumn("two_sided", F.col("alternative") == "two_sided")
-    return I.resample(rows, ["contrast"], ["task_id", "family"], "delta_price", "two_sided", 20_000, 10_000)
+    return I.resample(rows, ["contrast"], ["task_id", "family"], "delta_price", "two_sided")
 
 
 @query
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return I.resample(C.family_means(_deltas(spark, d), ["contrast", "family"], ["delta_price"]), ["contrast"], ["family"], "delta_price", None, 20_000, 10_000)
+    return I.resample(C.family_means(_deltas(spark, d), ["contrast", "family"], ["delta_price"]), ["contrast"], ["family"], "delta_price", None)
 
 
 # --- distributions ---------------------------------------------------------------------------

@@ -41,3 +41,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["resample_numpy", "cluster_bootstrap"])
+def test_published_draws(spark, name):
+    from parallax.operators import infer
+
+    rows = queries.QUERIES[name](spark, SF).collect()
+    assert rows and {r.n_resamples for r in rows} == {infer.SIGN_FLIPS}
