@@ -49,13 +49,18 @@ def unused_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table when the driver ends; readers of it may live until then."""
-    place, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends; readers of it may live until then."""
 
     def remove() -> None:
         with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone by now
-            place.getFileSystem(conf).delete(place, True)
+            delete(spark, path)
 
     atexit.register(remove)
 
@@ -65,8 +70,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    remove_at_exit(spark, path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of materialise() that no frame still to be computed reads."""
+    for df in stored:
+        delete(df.sparkSession, df._stored_at)
+
+
+#: Rows of one id that a join may broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few_or_merged(ids: DataFrame) -> DataFrame:
+    """A stored table of ids as the small side of a join: broadcast up to BROADCAST_ROWS rows, else merged."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
 
 
 def prefix_sum(df: DataFrame, group: list[str], blocks: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:

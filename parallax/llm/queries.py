@@ -15,6 +15,8 @@ SHARD_WEIGHTS = (1.0,) * 8
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 SHINGLE_WORDS, MAX_BITS = 3, 2
+#: Deliveries in which the documents reach the digest index; the second one meets a filled index.
+DEDUP_BATCHES = 2
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def op9_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    return exact_dedup.dedup_in_batches(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark), DEDUP_BATCHES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
