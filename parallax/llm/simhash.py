@@ -16,18 +16,22 @@ linked if they differ in `max_bits` bits or fewer; a component is what links rea
    nodes, never with pairs. Components are then found by alternating large-star and small-star
    rounds on stored tables.
 
-`near_dups` links by fingerprint alone. `similar_docs` links by shingle similarity: its candidates
-share a band of a sketch of their shingles, and it measures them all on whole texts, but those that
-links found before connect.
+`near_dups` links by fingerprint alone. `similar_docs` links texts whose shingle sets are similar:
+links of the index come first, each checked on whole texts; a sketch of the shingles supplies the
+pairs that are similar enough although their fingerprints are further apart (a similarity of 0.8
+leaves ten of 64 bits different, a radius at which an index over fingerprints ends up comparing
+all with all). Every candidate is measured on whole texts, but those that links already connect.
 
 Defined cases: a null or empty text has fingerprint zero; fewer words than a shingle count as
-one shingle; rows with a null doc_id are linked like others but represent a component only if
-all its rows lack an id; an empty table gives an empty result.
+one shingle; texts of any length are hashed block by block; rows with a null doc_id are linked
+like others but represent a component only if all its rows lack an id; rows that repeat an id
+share its component; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain, combinations
 
 import numpy as np
@@ -35,50 +39,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.llm.common import materialise, unused_names
+from parallax.llm.common import discard, few_or_merged, materialise, prefix_sum, slices, tidy, unused_names
 
 SEED = 42
-#: Shingles that are in memory at once; nodes of one pattern before it is refined; free bits at which refining ends.
-CHUNK, MAX_GROUP, FREE_BITS = 1 << 17, 1 << 16, 16
-#: Ids of eight bytes that a join may broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a text that are cut into words at once; nodes of one pattern before it is refined; free bits at which refining ends.
+TEXT_BLOCK, MAX_GROUP, FREE_BITS = 1 << 20, 1 << 16, 16
 #: Members of a tree node; groups up to SCAN are compared by shifting.
 FANOUT, SCAN = 8, 16
 
 
-def shingle_hashes(text: str | None, words: int) -> list[int]:
-    """XXH64 of each shingle of a text, repeats included; A-Z are lower-cased."""
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased, in runs from about TEXT_BLOCK bytes each."""
+    raw = (text or "").encode().lower()  # bytes: only ASCII letters and ASCII white space
+    at = 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + TEXT_BLOCK)
+        end = cut.start() if cut else len(raw)
+        if parts := raw[at:end].split():
+            yield parts
+        at = end
+
+
+def _windows(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each run of so many words; `parts` has that many at least."""
     from xxhash import xxh64_intdigest
 
-    parts = (text or "").encode().lower().split()  # bytes: only ASCII letters and ASCII white space
-    if not parts:
-        return []
     whole = b" ".join(parts)
-    if len(parts) <= words:
-        return [xxh64_intdigest(whole, SEED)]
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[:-words].tolist()]
     stops = (ends[words - 1 :] - 1).tolist()
-    return [xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+    return np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
 
+def shingle_blocks(blocks: Iterable[list[bytes]], words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of a text, repeats included, one array for each block of words."""
+    from xxhash import xxh64_intdigest
 
-def _ones(hashes: list[int]) -> np.ndarray:
+    held: list[bytes] = []
+    some = False
+    for parts in blocks:
+        held = [*held, *parts] if held else parts
+        if len(held) >= words:
+            some = True
+            yield _windows(held, words)
+            held = held[len(held) - words + 1 :]
+    if held and not some:
+        yield np.array([xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
     """How many hashes have each bit, highest bit first."""
     total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(np.array(hashes[i : i + CHUNK], dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        total += np.unpackbits(hashes[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return total
 
 
+def majority(ones: np.ndarray, count: int) -> int:
+    """The bits that over half of the hashes have."""
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
-    hashes = shingle_hashes(text, words)
-    return int.from_bytes(np.packbits(2 * _ones(hashes) > len(hashes)).tobytes(), "big")
+    ones, count = np.zeros(64, np.int64), 0
+    for hashes in shingle_blocks(word_blocks(text), words):
+        ones += _ones(hashes)
+        count += len(hashes)
+    return majority(ones, count)
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fp), fp as signed 64 bits."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.empty(batch.num_rows, np.uint64)
@@ -185,6 +221,7 @@ def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ..
     """What `groups` makes of the rows, whose columns it gets as arrays, `key` first: whole patterns, each in one run of equal keys."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in chain(batches, [None]):
@@ -304,11 +341,11 @@ def as_hex(fp: str = "fp"):
 
 # --- documents whose shingles are alike ------------------------------------------------------
 
-#: Words of a shingle, least Jaccard similarity.
-SHINGLE, SIMILAR = 5, 0.8
+#: Words of a shingle, least Jaccard similarity, bits in which fingerprints that the index links may differ.
+SHINGLE, SIMILAR, LINK_BITS = 5, 0.8, 3
 #: Minima in a band, bands: texts of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8.
 ROWS, BANDS = 5, 20
-#: Shingles of one text that are hashed at once; how much wider each round's window is than the last.
+#: Shingles of one text whose minima are taken at once; how much wider each round's window is than the last.
 SKETCH_CHUNK, WIDEN = 1 << 12, 4
 #: Classes in which a text's shingles are counted (one byte each, eight to a column); pairs whose counts are compared at once.
 CLASSES, COMPARE = 256, 1 << 14
@@ -318,14 +355,31 @@ FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, ROWS *
 
 def word_key(text: str | None) -> bytes:
     """Key of the word sequence."""
-    from xxhash import xxh3_128_digest
+    return _scanned(text, 1 << 60)[0]
+
 
-    return xxh3_128_digest(b" ".join((text or "").encode().lower().split()))
+def _scanned(text: str | None, shingle: int) -> tuple[bytes, list[np.ndarray]]:
+    """Key of the word sequence, and the hashes of all shingles by block."""
+    from xxhash import xxh3_128
+
+    key = xxh3_128()
+
+    def keyed() -> Iterator[list[bytes]]:
+        for parts in word_blocks(text):
+            key.update(b" ".join(parts) + b" ")
+            yield parts
+
+    blocks = list(shingle_blocks(keyed(), shingle))
+    return key.digest(), blocks
+
+
+def _set_of(blocks: list[np.ndarray]) -> bytes:
+    return np.unique(np.concatenate(blocks) if blocks else np.empty(0, np.uint64)).astype("<u8").tobytes()
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> bytes:
     """The sorted hashes of a text's different shingles."""
-    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64)).astype("<u8").tobytes()
+    return _set_of(list(shingle_blocks(word_blocks(text), shingle)))
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -363,135 +417,213 @@ COUNTS = [f"c{k}" for k in range(CLASSES // 8)]
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, size, b0, b1, ...) of each row; size: different shingles."""
-    names = ["doc_id", "key", "size", *BUCKETS]
+    """(doc_id, key, size, fp, b0, b1, ...) of each row; size: different shingles, fp: fingerprint of all."""
+    names = ["doc_id", "key", "size", "fp", *BUCKETS]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, found = [], [], []
+            keys, numbers = [], []
             for value in batch.column(1):
-                text = value.as_py()
-                shingles = shingle_set(text, shingle)
-                keys.append(word_key(text))
-                sizes.append(len(shingles) // 8)
-                found.append(sketch(shingles))
-            bands = np.array(found, np.uint64).reshape(-1, BANDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(bands[:, k]) for k in range(BANDS))], names)
+                key, blocks = _scanned(value.as_py(), shingle)
+                shingles = _set_of(blocks)
+                keys.append(key)
+                numbers.append([len(shingles) // 8, majority(sum(map(_ones, blocks), np.zeros(64, np.int64)), sum(map(len, blocks))), *sketch(shingles)])
+            columns = np.array(numbers, np.uint64).reshape(-1, BANDS + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(columns[:, k]) for k in range(BANDS + 2))], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, key binary, size long, {', '.join(f'{b} long' for b in BUCKETS)}")
+    return rows.mapInArrow(run, f"doc_id long, key binary, size long, fp long, {', '.join(f'{b} long' for b in BUCKETS)}")
 
 
-def _strongest(size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which pairs make up a forest of least weight over positions below `size`."""
+def _forest_of(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs make up a forest over positions below `size`."""
     root, chosen = np.arange(size), []
-    for level in np.unique(weight):
-        at = np.flatnonzero(weight == level)
-        while len(at := at[root[a[at]] != root[b[at]]]):
-            x, y = root[a[at]], root[b[at]]
-            high, low = np.maximum(x, y), np.minimum(x, y)
-            order = np.lexsort((low, high))
-            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]  # each root hooks on to one smaller root
-            chosen.append(at[first])
-            root[high[first]] = low[first]
-            while not np.array_equal(root, up := root[root]):
-                root = up
+    at = np.arange(len(a))
+    while len(at := at[root[a[at]] != root[b[at]]]):
+        x, y = root[a[at]], root[b[at]]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((low, high))
+        first = order[np.r_[True, high[order][1:] != high[order][:-1]]]  # each root hooks on to one smaller root
+        chosen.append(at[first])
+        root[high[first]] = low[first]
+        while not np.array_equal(root, up := root[root]):
+            root = up
     return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
 
 
-def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(bucket, size, node, root, n) of the buckets of n > 1 nodes; nodes: (node, size, b0, b1, ...). No links yet: a node is its own root."""
-    rows = nodes.select(F.explode(F.array(*BUCKETS)).alias("bucket"), "size", "node", F.col("node").alias("root"))
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+def index_pairs(nodes: DataFrame, most: int, max_group: int) -> DataFrame:
+    """(u, v) of nodes whose fingerprints the index links: a forest over fingerprints, and the nodes of one fingerprint to the first of them."""
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "first-nodes")
+    links = materialise(edges(first.select("fp"), most, max_group), "index-links")
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    across = links.join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    equal = nodes.join(few_or_merged(materialise(first.where("n > 1").select("fp", "first"), "shared-fingerprints")), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return across.unionByName(equal)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets whose nodes are not all connected yet."""
+    stats = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return materialise(stats.where("low < high").select("bucket", "n"), "mixed-buckets")
 
 
-def window_pairs(members: DataFrame, low: int, high: int, least: float) -> DataFrame:
+def bucket_members(nodes: DataFrame, max_group: int) -> DataFrame:
+    """(bucket, n, size, node, root, pos) of the nodes of mixed buckets; nodes: (node, root, size, b0, b1, ...).
+
+    pos numbers the nodes of a bucket of more than `max_group` by (size, node); it is null in others.
+    """
+    rows = nodes.select(F.explode(F.array(*BUCKETS)).alias("bucket"), "size", "node", "root")
+    members = materialise(rows.join(few_or_merged(_mixed(rows)), "bucket").select("bucket", "n", "size", "node", "root"), "members")
+    hot = members.where(F.col("n") > max_group).withColumn("_salt", F.floor(F.pmod("node", F.lit(1 << 33)) / 1024).cast("long"))
+    hot = prefix_sum(hot, ["bucket"], ["size", "_salt"], ["node"], {"pos": F.lit(1)}).drop("_salt")
+    return members.where(F.col("n") <= max_group).withColumn("pos", F.lit(None).cast("long")).unionByName(hot.select("bucket", "n", "size", "node", "root", "pos"))
+
+
+def _alike(size: np.ndarray, classes: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows may be similar by their sizes and class counts."""
+    out = np.minimum(size[one], size[two]) / np.maximum(np.maximum(size[one], size[two]), 1) >= least
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), COMPARE):
+        a, b = one[at[k : k + COMPARE]], two[at[k : k + COMPARE]]
+        shared = np.minimum(np.minimum(size[a], size[b]), most_shared(classes[a], classes[b]))
+        out[at[k : k + COMPARE]] = shared / np.maximum(size[a] + size[b] - shared, 1) >= least
+    return out
+
+
+def window_pairs(members: DataFrame, low: int, high: int, least: float, max_group: int) -> DataFrame:
     """(u, v), u < v: nodes of a bucket, `low` to `high` - 1 places apart by size, that are not connected yet.
 
     A pair is left out only if its sizes or class counts prove that its similarity is below `least`.
+    Buckets of more than `max_group` nodes are cut into blocks of that many places: a task holds the
+    nodes of one block and those that the window of the block reaches.
     """
 
-    def groups(starts: np.ndarray, _bucket: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def paired(size: np.ndarray, node: np.ndarray, root: np.ndarray, counts: tuple[np.ndarray, ...], steps: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+        classes, size = np.stack(counts, axis=1).view(np.uint8), size.astype(np.int64)
+        for one, two in steps:
+            apart = root[one] != root[two]
+            one, two = one[apart], two[apart]
+            alike = _alike(size, classes, one, two, least)
+            if alike.any():
+                u, v = node[one[alike]], node[two[alike]]
+                yield np.minimum(u, v), np.maximum(u, v)
+
+    def whole(starts: np.ndarray, _bucket: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         sizes = np.diff(np.r_[starts, len(node)])
         run = np.repeat(np.arange(len(starts)), sizes)
-        classes, size = np.stack(counts, axis=1).view(np.uint8), size.astype(np.int64)
-        for shift in range(low, min(high, int(sizes.max(initial=0)))):
-            at = np.flatnonzero((run[shift:] == run[:-shift]) & (root[shift:] != root[:-shift]) & (size[:-shift] / np.maximum(size[shift:], 1) >= least))
-            for k in range(0, len(at), COMPARE):
-                one, two = at[k : k + COMPARE], at[k : k + COMPARE] + shift
-                shared = np.minimum(size[one], most_shared(classes[one], classes[two]))
-                alike = shared / np.maximum(size[one] + size[two] - shared, 1) >= least
-                if alike.any():
-                    u, v = node[one[alike]], node[two[alike]]
-                    yield np.minimum(u, v), np.maximum(u, v)
+        steps = ((at, at + k) for k in range(low, min(high, int(sizes.max(initial=0)))) for at in [np.flatnonzero(run[k:] == run[:-k])])
+        yield from paired(size, node, root, counts, steps)
 
-    return _search(members.select("bucket", "size", "node", "root", *COUNTS), groups, "u long, v long", ["bucket"], ["size", "node"]).distinct()
+    def blocks(starts: np.ndarray, _bucket: np.ndarray, _block: np.ndarray, pos: np.ndarray, right: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for a, b in zip(starts, np.r_[starts[1:], len(pos)], strict=True):
+            lefts, rights = np.flatnonzero(right[a:b] == 0) + a, np.flatnonzero(right[a:b] == 1) + a
+            if not len(lefts) or not len(rights):
+                continue
+            begin, first = int(pos[lefts[0]]), int(pos[rights[0]])  # places of either side follow each other without gaps
+
+            def steps(lefts=lefts, rights=rights, begin=begin, first=first) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for k in range(low, high):
+                    skip, shift = max(0, first - begin - k), begin + k - first
+                    n = min(len(lefts), len(rights) - shift) - skip
+                    if n > 0:
+                        yield lefts[skip : skip + n], rights[skip + shift : skip + shift + n]
+
+            yield from paired(size, node, root, counts, steps())
+
+    found = _search(members.where("pos IS NULL").select("bucket", "size", "node", "root", *COUNTS), whole, "u long, v long", ["bucket"], ["size", "node"])
+    hot = members.where("pos IS NOT NULL")
+    own, side = F.floor(F.col("pos") / max_group).cast("long"), lambda block, right: F.struct(block.alias("block"), F.lit(right).cast("long").alias("right"))
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - (high - 1)) / max_group)).cast("long"), F.floor((F.col("pos") - low) / max_group).cast("long"))
+    rights = F.when(F.col("pos") >= low, F.transform(reach, lambda k: side(k, 1))).otherwise(F.array().cast("array<struct<block:bigint,right:bigint>>"))
+    hot = hot.withColumn("_at", F.explode(F.concat(F.array(side(own, 0)), rights))).select("bucket", "_at.block", "pos", "_at.right", "size", "node", "root", *COUNTS)
+    return found.unionByName(_search(hot, blocks, "u long, v long", ["bucket", "block"], ["right", "pos"])).distinct()
+
+
+class _Texts:
+    """Shingle sets of nodes, made from whole texts when they are asked for."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, least: float):
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.nodes, self.shingle, self.least = nodes, shingle, least
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """(node, shingles, c0, c1, ...) of the nodes in a stored table; one document of each node is read."""
+        shingle = self.shingle
+
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows in slices(batch):
+                    keys, sets = [], []
+                    for value in rows.column(0):
+                        key, found = _scanned(value.as_py(), shingle)
+                        keys.append(key)
+                        sets.append(_set_of(found))
+                    counts = np.array([class_counts(x) for x in sets], np.uint8).reshape(-1, CLASSES).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], ["key", "shingles", *COUNTS])
+
+        ends = materialise(self.nodes.join(few_or_merged(asked), "node", "left_semi").select("key", "node", "first_id"), "asked-nodes")
+        wanted = materialise(ends.select(F.col("first_id").alias("_wanted")).distinct(), "wanted")
+        texts = self.docs.join(few_or_merged(wanted), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+        made = texts.select("text").mapInArrow(run, f"key binary, shingles binary, {', '.join(f'{c} long' for c in COUNTS)}").dropDuplicates(["key"])
+        return materialise(made.join(ends.select("key", "node"), "key").select("node", "shingles", *COUNTS), "shingles")
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are similar, less those that others of a batch replace; sets: from of()."""
+        least = self.least
+
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                alike = batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["u", "v"])
+                names, place = np.unique(np.concatenate([np.asarray(c) for c in alike.columns]), return_inverse=True)
+                yield alike.take(pa.array(_forest_of(len(names), place[: alike.num_rows], place[alike.num_rows :])))
 
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        own = sets.select("node", "shingles").join(few_or_merged(materialise(asked, "asked")), "node", "left_semi")
+        side = lambda end, name: own.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
+        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
-def _few_or_merged(ids: DataFrame) -> DataFrame:
-    """A stored table of ids as the small side of a join: broadcast up to BROADCAST_ROWS rows, else merged."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
 
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(few_or_merged(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, max_group: int = MAX_GROUP) -> DataFrame:
+
+def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, max_group: int = MAX_GROUP, link_bits: int = LINK_BITS) -> DataFrame:
     """(doc_id, component_id) of each row: documents joined by links of similar shingle sets.
 
-    Candidates are the pairs that share a bucket of their sketches. All of them are measured on
-    whole texts, in rounds over wider and wider windows of a bucket, but those that earlier links
-    already connect or class counts rule out; a round sets a node against `max_group` others of a bucket at most. A
-    candidate is a link if the Jaccard similarity of its shingle sets is `least` or more.
-    Whole texts are read again only for documents that are in a candidate.
+    1. The Gray-order index over the texts' fingerprints links those that differ in `link_bits` or
+       fewer; a link counts if the Jaccard similarity of the shingle sets is `least` or more.
+    2. Pairs that are similar with fingerprints further apart share a bucket of their sketches.
+       Buckets that the index has connected are done. Pairs in the others are measured on whole
+       texts, in rounds over wider and wider windows, but those that earlier links connect or class
+       counts rule out.
     """
     sigs = materialise(signatures(docs, shingle), "signatures")
-    nodes = sigs.groupBy("key").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in ["size", *BUCKETS]))
+    nodes = sigs.groupBy("key").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in ["size", "fp", *BUCKETS]))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = materialise(bucket_members(nodes), "buckets")
-    ends = materialise(nodes.select("key", "node", "first_id").join(members.select("node").distinct(), "node", "left_semi"), "candidate-nodes")
-    wanted = ends.select(F.col("first_id").alias("_wanted")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(0)]
-            found = [shingle_set(t, shingle) for t in texts]
-            counts = np.array([class_counts(x) for x in found], np.uint8).reshape(-1, CLASSES).view(np.int64)
-            columns = [pa.array([word_key(t) for t in texts], pa.binary()), pa.array(found, pa.binary()), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", *COUNTS])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(_few_or_merged(materialise(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    found = texts.select("text").mapInArrow(sets, f"key binary, shingles binary, {', '.join(f'{c} long' for c in COUNTS)}").dropDuplicates(["key"])
-    found = materialise(found.join(ends.select("key", "node"), "key").select("node", "shingles", *COUNTS), "shingles")
-    members = materialise(members.join(found.select("node", *COUNTS).hint("merge"), "node"), "counted-buckets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["u", "v"])
-            # links that others of the batch replace are not needed: all of them are similar
-            names, place = np.unique(np.concatenate([np.asarray(c) for c in links.columns]), return_inverse=True)
-            a, b = place[: links.num_rows], place[links.num_rows :]
-            yield links.take(pa.array(_strongest(len(names), a, b, np.zeros(len(a), np.int64))))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        own = found.select("node", "shingles").join(_few_or_merged(materialise(asked, "asked")), "node", "left_semi")
-        side = lambda end, name: own.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
-        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-    roots = sigs.sparkSession.createDataFrame([], "node long, root long")
-    low, largest = 1, members.agg(F.max("n")).first()[0] or 0
+    texts = _Texts(docs, nodes.select("key", "node", "first_id"), shingle, least)
+
+    pairs = materialise(index_pairs(nodes.select("node", "fp"), link_bits, max_group), "candidates")
+    ends = materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "linked-nodes")
+    sets = texts.of(ends)
+    roots = components(texts.links(pairs, sets))
+    discard(sets, ends, pairs)
+
+    members = materialise(bucket_members(_with_roots(nodes.select("node", "size", *BUCKETS), roots), max_group), "buckets")
+    sets = texts.of(materialise(members.select("node").distinct(), "candidate-nodes"))
+    members = materialise(members.join(sets.select("node", *COUNTS).hint("merge"), "node"), "counted-buckets")
+    low, high, largest = 1, 2, members.agg(F.max("n")).first()[0] or 0
     while low < largest:
-        high = min(low * WIDEN, low + max_group)
-        pairs = materialise(window_pairs(members, low, high, least), "candidates")
+        pairs = materialise(window_pairs(members, low, high, least, max_group), "candidates")
         if not pairs.isEmpty():
-            roots = components(links(pairs).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            roots = components(texts.links(pairs, sets).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         # what goes on: buckets with members further apart and more than one component
-        whole = Window.partitionBy("bucket")
-        now = members.where(F.col("n") > high).drop("root").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = now.withColumn("mixed", F.min("root").over(whole) < F.max("root").over(whole)).where("mixed").select(*members.columns)
-        members = materialise(now, "buckets")
-        low, largest = high, members.agg(F.max("n")).first()[0] or 0
-    rooted = nodes.select("key", "node", "first_id").join(roots, "node", "left").select("key", "first_id", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "rooted")
+        further = _with_roots(members.where(F.col("n") > high).drop("root"), roots)
+        members = materialise(further.join(few_or_merged(_mixed(further).select("bucket")), "bucket", "left_semi").select(*members.columns), "buckets")
+        low, high, largest = high, min(high * WIDEN, high + max_group), members.agg(F.max("n")).first()[0] or 0
+    rooted = materialise(_with_roots(nodes.select("key", "node", "first_id"), roots).select("key", "first_id", "root"), "rooted")
     smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     classes = materialise(rooted.join(smallest.hint("merge"), "root").select("key", "component_id"), "classes")
     return sigs.select("doc_id", "key").join(classes.hint("merge"), "key").select("doc_id", "component_id")
@@ -507,4 +639,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR) ->
     goes = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes")).where("goes")
     (gone,) = unused_names(docs, "_gone")
     goes = materialise(goes.select(F.col("doc_id").alias(gone)), "copies")
-    return docs.join(_few_or_merged(goes), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    return docs.join(few_or_merged(goes), F.col("doc_id").cast("long") == F.col(gone), "left_anti")

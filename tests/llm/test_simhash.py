@@ -148,28 +148,14 @@ def test_similarity():
     assert simhash.similarity(simhash.shingle_set(""), simhash.shingle_set("a")) == 0.0
 
 
-def test_strongest_links_are_a_minimum_forest():
+def test_replaced_links_are_a_forest():
     rng = np.random.default_rng(9)
     for _ in range(20):
         n = 30
         a, b = rng.integers(0, n, 80), rng.integers(0, n, 80)
-        a, b = a[a != b], b[a != b]
-        w = rng.integers(0, 6, len(a))
-        chosen = simhash._strongest(n, a, b, w)
-        root = list(range(n))
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        total = 0
-        for i in np.argsort(w, kind="stable"):
-            x, y = find(a[i]), find(b[i])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                total += w[i]
-        assert w[chosen].sum() == total and len(chosen) == n - len({find(x) for x in range(n)})
+        chosen = simhash._forest_of(n, a, b)
+        want, found = (simhash._forest(n, iter([(x, y)])) for x, y in ((a, b), (a[chosen], b[chosen])))
+        assert (want == found).all() and len(chosen) == n - len(set(want.tolist()))
 
 
 def brute_components(texts, least=0.8):
