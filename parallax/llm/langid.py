@@ -7,13 +7,17 @@ in numpy on a bounded sample, inside one task; the driver only ever holds the fi
 A part of the sample is set aside to fit the softmax temperature and the score under which a
 prediction is rejected.
 
-Sample: for each of the `MAX_LANGS` most frequent labels the rows whose id hash is below
-PER_LANG / (rows of the label), so PER_LANG rows expected at any corpus size; `HARD_CAP` texts
-at most enter training. Everything else covers all rows.
+Sample: of every label the rows whose hash of id and text is below `PER_LANG` (less, if there are
+so many labels that this exceeds `HARD_CAP`) / rows of the label, so as many rows are expected at
+any corpus size; training reads them in the order of the hash until it has `HARD_CAP` texts or
+`SAMPLE_BYTES` bytes. No label is left out by a rank. Everything else covers all rows.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and rejected; without
 any labelled text every row is `und`; rows with a null label are predicted, never learned from;
-a null doc_id hashes as the empty string.
+a null doc_id hashes as the empty string; rows that repeat an id are drawn and predicted each on
+its own; of labels with equal scores the first by name wins; a text of any length is read whole,
+in blocks of `SEGMENT` bytes; an empty table gives no model and no rows; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import few_or_merged, materialise, slices, tidy
 
-#: The bounds of the sample.
-PER_LANG, MAX_LANGS, HARD_CAP = 800, 200, 40_000
+#: The bounds of the sample: rows of a label (expected), rows and bytes in all.
+PER_LANG, HARD_CAP, SAMPLE_BYTES = 800, 40_000, 64 << 20
 #: The model: hash buckets, width of an embedding, n-gram sizes.
 BUCKET_BITS, WIDTH, SIZES = 16, 16, (2, 3, 4)
 #: Training: passes, first step, documents of a step.
@@ -43,10 +48,11 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def grams(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(data: np.ndarray, starts: np.ndarray, first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size: the bucket of each n-gram of texts laid end to end, and the text it is in.
 
     starts: where each text starts in `data`; n-grams across texts and blanks inside are left out.
+    first: only n-grams that begin among so many first bytes.
     """
     folded = _FOLD[data]
     text = np.zeros(len(data), np.int32)
@@ -56,18 +62,40 @@ def grams(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np
     for n in SIZES:
         if len(data) < n:
             continue
-        m = len(data) - n + 1
+        m = min(len(data) - n + 1, first or len(data))
         code = np.full(m, n, np.uint32)
-        keep = text[:m] == text[n - 1 :]
+        keep = text[:m] == text[n - 1 : n - 1 + m]
         for k in range(n):
             code = (code ^ folded[k : k + m]) * np.uint32(0x01000193)
             if 0 < k < n - 1:
                 keep &= ~blank[k : k + m]
-        keep &= ~(blank[:m] & blank[n - 1 :])
+        keep &= ~(blank[:m] & blank[n - 1 : n - 1 + m])
         code = (code ^ (code >> np.uint32(15))) * np.uint32(0x9E3779B1)
         yield (code[keep] >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), text[:m][keep]
 
 
+def gram_blocks(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of one text, block by block."""
+    data = np.frombuffer(text, np.uint8)
+    for at in range(0, len(data), SEGMENT):
+        for bucket, _ in grams(data[at : at + SEGMENT + max(SIZES) - 1], np.zeros(1, np.int64), SEGMENT):
+            yield bucket
+
+
+def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of a text, and the share of its n-grams that each has."""
+    if len(text) <= SEGMENT:
+        found = list(gram_blocks(text))
+        bucket, count = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+    else:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for found in gram_blocks(text):
+            total += np.bincount(found, minlength=len(total))
+        bucket = np.flatnonzero(total)
+        count = total[bucket]
+    return bucket, (count / max(1, count.sum())).astype(np.float32)
+
+
 class Model:
     """Embeddings (buckets x width), layer (width x labels), temperature and rejection score."""
 
@@ -76,6 +104,11 @@ class Model:
         # with few labels it is cheaper to add up finished logits than embeddings
         self._sums = (embedding @ layer).astype(np.float32) if len(labels) <= WIDTH else embedding
 
+    def logits_of(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Logits from shares()."""
+        mean = np.array([share @ self._sums[bucket] for bucket, share in rows]).reshape(len(rows), self._sums.shape[1])
+        return (mean if len(self.labels) <= WIDTH else mean @ self.layer) + self.bias
+
     def logits(self, texts: list[bytes]) -> np.ndarray:
         sizes = np.array([len(t) for t in texts], np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -92,7 +125,14 @@ class Model:
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Label numbers and calibrated scores."""
-        z = self.logits(texts) / self.temperature
+        long = [i for i, t in enumerate(texts) if len(t) > SEGMENT]
+        z = self.logits([b"" if len(t) > SEGMENT else t for t in texts])
+        if long:
+            z[long] = self.logits_of([shares(texts[i]) for i in long])
+        return self.scores(z)
+
+    def scores(self, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = logits / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -110,17 +150,16 @@ class Model:
 
 
 def train(texts: list[bytes], labels: list[str], calibration: list[bool], seed: int = 0) -> Model | None:
-    """Fit on the rows outside `calibration`; fit temperature and rejection on those inside."""
+    return train_on([shares(t) for t in texts], labels, calibration, seed)
+
+
+def train_on(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], calibration: list[bool], seed: int = 0) -> Model | None:
+    """Fit on the rows (from shares()) outside `calibration`; fit temperature and rejection on those inside."""
     names = sorted(set(labels))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     number = {n: k for k, n in enumerate(names)}
-    rows = []
-    for text in texts:  # n-gram buckets and their shares
-        found = [b for b, _ in grams(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))] if text else []
-        bucket, count = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
-        rows.append((bucket, (count / max(1, count.sum())).astype(np.float32)))
     y = np.array([number[n] for n in labels])
     embedding = rng.normal(0, 1 / WIDTH, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
@@ -145,15 +184,15 @@ def train(texts: list[bytes], labels: list[str], calibration: list[bool], seed:
             for i, g in zip(batch, back, strict=True):
                 embedding[rows[i][0]] -= (rate * 64 * rows[i][1])[:, None] * g.astype(np.float32)
     model = Model(names, embedding, layer, bias)
-    return calibrate(model, [t for t, h in zip(texts, calibration, strict=True) if h], [n for n, h in zip(labels, calibration, strict=True) if h])
+    return calibrate(model, [r for r, h in zip(rows, calibration, strict=True) if h], [n for n, h in zip(labels, calibration, strict=True) if h])
 
 
-def calibrate(model: Model, texts: list[bytes], labels: list[str]) -> Model:
+def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Model:
     """The temperature of least log loss, and the score that all but FALSE_REJECTION of the right predictions reach."""
-    pairs = [(t, n) for t, n in zip(texts, labels, strict=True) if n in set(model.labels) and t]
+    pairs = [(r, n) for r, n in zip(rows, labels, strict=True) if n in set(model.labels) and len(r[0])]
     if not pairs:
         return model
-    z, y = model.logits([t for t, _ in pairs]), np.array([model.labels.index(n) for _, n in pairs])
+    z, y = model.logits_of([r for r, _ in pairs]), np.array([model.labels.index(n) for _, n in pairs])
 
     # smoothed targets: without errors among n rows, one error in n + 2 is as sure as it gets
     doubt = 1 / (len(y) + 2)
@@ -165,7 +204,7 @@ def calibrate(model: Model, texts: list[bytes], labels: list[str]) -> Model:
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)))
 
     model.temperature = min(np.geomspace(0.02, 20, 90).tolist(), key=loss)
-    best, score = model.predict([t for t, _ in pairs])
+    best, score = model.scores(z)
     right = score[best == y]
     if len(right):
         # never above an even chance between two labels: a clean text that is short is no reason to go
@@ -179,19 +218,27 @@ def fold(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> bytes | None:
     """A model from text and label of the rows outside fold 0; fold 1 of the sample calibrates."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    chance = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("at")
-    # the limit above bounds the broadcast side
-    sample = labelled.where("text is not null").join(F.broadcast(counts), "lang").where(F.col("n") * chance < per_lang).withColumn("at", chance)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    each = min(per_lang, HARD_CAP / max(1, counts.count()))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = labelled.withColumn("at", chance).join(few_or_merged(counts), "lang").where(F.col("n") * F.col("at") < each)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["at"], r["doc_id"] if r["doc_id"] is not None else -1, r["lang"], r["fold"], r["text"]) for b in batches for r in b.to_pylist())[:HARD_CAP]
-        model = train([r[4].encode() for r in rows], [r[2] for r in rows], [r[3] == 1 for r in rows])
-        if model:
+        rows, labels, calibration, size = [], [], [], 0
+        for lang, number, text in (r.values() for b in batches for part in slices(b) for r in part.to_pylist()):
+            if len(rows) == HARD_CAP or size > SAMPLE_BYTES:
+                break
+            raw = text.encode()
+            size += len(raw)
+            rows.append(shares(raw))
+            labels.append(lang)
+            calibration.append(number == 1)
+        if model := train_on(rows, labels, calibration):
             yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
-    one = sample.select("at", "doc_id", "lang", fold(F.col("doc_id")).alias("fold"), "text").repartition(1).mapInArrow(run, "model binary")
+    one = sample.repartition(1).sortWithinPartitions("at", "doc_id", "lang", "text").select("lang", fold(F.col("doc_id")).alias("fold"), "text").mapInArrow(run, "model binary")
     found = one.collect()
     return bytes(found[0].model) if found else None
 
@@ -232,6 +279,7 @@ def predict(docs: DataFrame, model: bytes | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, letter = Model.load(shared.value) if shared.value else None, _letter()
         for batch in batches:
@@ -247,6 +295,7 @@ def keep_known(docs: DataFrame, model: bytes | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, letter = Model.load(shared.value) if shared.value else None, _letter()
         for batch in batches:
