@@ -12,7 +12,9 @@ any such position is re-encoded whole, which is right as well. Decoding concaten
 up the same kind of tree.
 
 Defined cases: null is the empty text; the empty text has no ids; special-token strings are
-ordinary text; unknown ids raise ValueError.
+ordinary text; unknown ids raise ValueError; a text of any length is a tree of leaves of at most
+LEAF characters; rows that repeat an id are encoded each; an empty table gives no rows; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import slices, tidy
+
 #: Characters of a leaf, ids of a decoding leaf, first width of a boundary window.
-LEAF, DECODE_LEAF, WINDOW = 8192, 4096, 64
+LEAF, DECODE_LEAF, WINDOW = 1024, 1024, 32
 #: White-space runs from this length on are cut out here: the library's matcher overflows on very long ones.
 LONG_RUN = 1000
 
@@ -69,29 +73,19 @@ class Codec:
 
     def _join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """Ids of text[a:b] from those of text[a:m] and text[m:b]."""
-        start, width = a, WINDOW
-        while True:  # the last sure cut in (a, m]
-            low = max(a, m - width)
-            last = None
-            for last in _CUT.finditer(text, low, m + 1):
-                pass
-            if last:
-                start = last.start() + 1
-                break
-            if low == a:
+        width = WINDOW
+        while True:
+            low, high = max(a, m - width), min(b, m + width)
+            start = a if low == a else None
+            for sure in _CUT.finditer(text, low, min(m + 1, b)):
+                start = sure.start() + 1
+            sure = _CUT.search(text, max(m - 1, a), high)
+            end = sure.start() + 1 if sure else b if high == b else None
+            if start is not None and end is not None:
                 break
             width *= 2
-        if start == m:
+        if start == m or end == m:
             return left + right
-        end, width = b, WINDOW
-        while True:  # the first sure cut in [m, b)
-            high = min(b, m + width)
-            if first := _CUT.search(text, m - 1, high):
-                end = first.start() + 1
-                break
-            if high == b:
-                break
-            width *= 2
         keep = self._without(left, len(text[start:m].encode()), last_first=True)
         skip = self._without(right, len(text[m:end].encode()), last_first=False)
         return left[: len(left) - keep] + self._leaf(text[start:end]) + right[skip:]
@@ -126,10 +120,11 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            for rows in _slices(batch):
+            for rows in slices(batch):
                 ids = [own.encode(text or "") for text in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -139,6 +134,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, decoded): the bytes of each row of (doc_id, ids); null ids are no ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
@@ -154,10 +150,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Encodes and decodes row by row in one pass, so that ids never leave the worker.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            for rows in _slices(batch):
+            for rows in slices(batch):
                 n, ids_sha, raw_sha = [], [], []
                 for text in rows.column(1).to_pylist():
                     ids = own.encode(text or "")
@@ -167,9 +164,3 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short runs of rows, so that only few texts are Python objects at a time."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)

@@ -5,11 +5,13 @@ max_len and a rest, so that nothing is lost and there are at most max_len differ
 The histogram of all segment lengths is the only thing the driver sees. Dynamic programming
 over it finds the bucket boundaries with the least padding. Inside each bucket segments are
 numbered and cut into batches of budget // boundary segments; only a bucket's last batch can
-be short. Numbering is spread over `SALTS` blocks of each bucket.
+be short. Numbering is spread over 4096 blocks of each bucket by a hash of id, text and segment.
 
-Defined cases: a null or empty text is one segment of length 1 (the end token); repeated rows
-are packed as documents of their own; a null doc_id sorts first; an empty table packs into
-nothing.
+Defined cases: a null or empty text is one segment of length 1 (the end token); rows that repeat
+an id, or lack one, are packed as documents of their own and dealt over the blocks by their texts;
+of boundaries with equal padding the fewest, then the smallest win; a text of any length is cut
+into segments; an empty table packs into nothing; other columns are not looked at, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from parallax.llm.common import WORD, materialise, prefix_sum
 
-#: Longest segment, tokens of a batch with padding, buckets, blocks of the numbering of one bucket.
-MAX_LEN, BUDGET, BUCKETS, SALTS = 2048, 1 << 16, 8, 1024
+#: Longest segment, tokens of a batch with padding, buckets.
+MAX_LEN, BUDGET, BUCKETS = 2048, 1 << 16, 8
 
 
 def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
@@ -59,13 +61,14 @@ def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> l
 
 
 def segments(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """(doc_id, segment, start, n_tokens)."""
+    """(doc_id, segment, start, n_tokens, text_key); text_key: 16 bits of a hash of the text."""
     length = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long") + 1
     # texts are read once; the histogram and both passes of the numbering read lengths
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("all_tokens")), "lengths")
-    rows = rows.select("doc_id", "all_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_tokens") - 1) / max_len).cast("long"))).alias("segment"))
+    text_key = F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 4)
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("all_tokens"), text_key.alias("text_key")), "lengths")
+    rows = rows.select("doc_id", "all_tokens", "text_key", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_tokens") - 1) / max_len).cast("long"))).alias("segment"))
     start = F.col("segment") * max_len
-    return rows.select("doc_id", "segment", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("all_tokens") - start).alias("n_tokens"))
+    return rows.select("doc_id", "segment", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("all_tokens") - start).alias("n_tokens"), "text_key")
 
 
 def pack(docs: DataFrame, max_len: int = MAX_LEN, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
@@ -77,8 +80,9 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, budget: int = BUDGET, buckets:
     bounds = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets) or [max_len]
     upper = F.array(*(F.lit(b).cast("long") for b in bounds))
     bucket = F.size(F.filter(upper, lambda b: b < F.col("n_tokens")))
-    rows = rows.withColumn("bucket", bucket).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "segment"), F.lit(SALTS)))
-    rows = prefix_sum(rows, ["bucket"], ["_salt"], ["doc_id", "segment", "n_tokens"], {"_slot": F.lit(1)})
+    salt = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("segment").cast("string"), "text_key")), 1, 3)
+    rows = rows.withColumn("bucket", bucket).withColumn("_salt", salt)
+    rows = prefix_sum(rows, ["bucket"], ["_salt"], ["doc_id", "segment", "n_tokens", "text_key"], {"_slot": F.lit(1)})
     rows = rows.withColumn("bucket_len", F.element_at(upper, F.col("bucket") + 1))
     room = F.floor(F.lit(budget) / F.col("bucket_len"))
     return rows.select(

@@ -8,7 +8,9 @@ every byte is judged. A text fails if more than `BAD_CHUNKS` of its chunks do, w
 that the rest of a document hides. Everything is row-local.
 
 Defined cases: a null or empty text has no words and fails the base rules; texts shorter than
-the first band are judged by the base rules alone.
+the first band are judged by the base rules alone; a ratio on a limit passes; a text of any length
+is judged whole, chunk by chunk; rows that repeat an id are judged each on its own; an empty table
+gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import slices, tidy
+
 #: (bytes from, ratio from, ratio to). Floors are near 0.6 of the median ratio of ordinary prose of that length,
 #: ceilings from 256 bytes on between the largest ratio of sf0.1 (0.745, 0.698, 0.592, 0.521) and base64's least (0.846, 0.797, 0.775, 0.754).
 BANDS = ((64, 0.50, 1.30), (128, 0.43, 1.05), (256, 0.38, 0.82), (512, 0.35, 0.77), (1024, 0.31, 0.72), (2048, 0.28, 0.68), (65536, 0.22, 0.68))
@@ -92,11 +96,12 @@ class Bands:
 def rules(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, the base counts, base_failed, kept, and the ratios behind the verdict."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
         names = [c.split()[0] for c in COLUMNS.split(", ")]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for value in batch.column(1):
                 text = value.as_py() or ""

@@ -73,12 +73,13 @@ def oracle_sql() -> dict[str, str]:
 SQL = {
     "op6_perspective_rotation": r"""
         WITH s AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
+             v AS (SELECT *, md5(speaker || ':' || said) AS h, regexp_replace(said, '<(\|+im_(?:start|end)\|>)', '<|\1', 'g') AS plain, regexp_replace(regexp_replace(speaker, '<(\|+im_(?:start|end)\|>)', '<|\1', 'g'), '[\r\n]', ' ', 'g') AS called FROM s),
              c AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
-             r AS (SELECT *, CASE speaker WHEN perspective THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'user' END AS role FROM s JOIN c USING (conv_id)),
-             t AS (SELECT *, '<|im_start|>' || role || CASE role WHEN 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
-             g AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM t),
+             r AS (SELECT *, CASE speaker WHEN perspective THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'user' END AS role FROM v JOIN c USING (conv_id)),
+             t AS (SELECT *, '<|im_start|>' || role || CASE role WHEN 'user' THEN ' name=' || called ELSE '' END || chr(10) AS head FROM r),
+             g AS (SELECT *, head || plain || '<|im_end|>' || chr(10) AS segment FROM t),
              n AS (SELECT *, row_number() OVER w - 1 AS seq, (sum(length(segment)) OVER w)::BIGINT AS end_char FROM g
-                   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, said ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+                   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT conv_id, perspective, seq, turn, role, CASE role WHEN 'user' THEN speaker END AS name, segment, end_char - length(segment) AS start_char, end_char,
                CASE role WHEN 'assistant' THEN end_char - length(segment) + length(head) END AS mask_start, CASE role WHEN 'assistant' THEN end_char END AS mask_end
         FROM n""",

@@ -8,7 +8,11 @@ documents left are verified with the regex. Rules without a mandatory trigram sc
 documents. Segments are independent, so there is no shuffle and nothing grows with the corpus.
 
 Defined cases: null is the empty text; spans are code points with exclusive end, leftmost
-and non-overlapping within a kind; spans of different kinds may overlap.
+and non-overlapping within a kind; spans of different kinds may overlap, and spans of equal start
+stand in the order of the rules; a private key reaches over its base64 lines to its end line, or
+as far as they go; a text of any length is scanned whole, in a segment of its own if it is longer
+than one; rows that repeat an id are scanned each; an empty table gives no rows; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from parallax.llm.common import tidy
+
 #: Sets of strings larger than this are cut to prefixes and suffixes; segments have so many bytes or rows at most.
 MAX_SET, SEGMENT_BYTES, SEGMENT_ROWS = 24, 4 << 20, 1024
 
@@ -214,7 +220,7 @@ RULES = (
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:\s{1,4}(?:Proc-Type|DEK-Info):[^\r\n]{0,100})*(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]{16,})*(?:(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]{1,15})?(?:\s|\\[nr]){1,4}-----END [A-Z ]{0,32}PRIVATE KEY-----)?"),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -293,6 +299,7 @@ def _segments(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): all spans of each text, by start and then kind as listed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -319,6 +326,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     at = names.index("text")
     counted = names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, IntegralType) else None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(rules)
         for batch in batches:

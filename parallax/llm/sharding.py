@@ -4,10 +4,12 @@ Each (key, shard) pair hashes to a uniform u in (0, 1); a record goes to the sha
 smallest -ln(u) / weight, so shard s gets weight(s) / sum of weights of the keys. Adding a
 shard only lets the new shard win records; no record moves between old shards. Everything
 is a row-local expression; only the numbering of rows inside a shard needs a shuffle, and
-that is spread over `SALTS` blocks per shard.
+that is spread over 4096 blocks per shard by a hash of id and text.
 
 Defined cases: a null doc_id is the empty key; a null text has size 1 and crc32 0; rows
-repeating a doc_id go to one shard and get slots of their own; empty input gives no rows.
+repeating a doc_id go to one shard and get slots of their own, which are dealt over the blocks by
+their texts; of shards with equal scores the first wins; a text of any length is hashed whole;
+empty input gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,6 @@ from pyspark.sql import functions as F
 
 from parallax.llm.common import prefix_sum
 
-#: Blocks that the slot numbering of one shard is dealt over.
-SALTS = 1024
-
-
 def _digits(key: Column, shard: int) -> Column:
     """52 hash bits of the pair."""
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("long")
@@ -44,10 +42,11 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     """
     grown = grown or [*weights, sum(weights) / len(weights)]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"),
+        rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
     )
+    rows = rows.withColumn("_salt", F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))), 1, 3))
     out = prefix_sum(rows, ["shard"], ["_salt"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1)})
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

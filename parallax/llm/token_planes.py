@@ -1,6 +1,7 @@
 """Token-id output as compressed bit or byte planes.
 
-Documents are range-partitioned by doc_id; each partition becomes one part of the file set.
+Documents are range-partitioned by doc_id and a hash of the text, so that rows of one id are dealt
+over many parts as well; each partition becomes one part of the file set.
 A part is a run of blocks of `BLOCK` ids (the last one shorter). A block's ids are transposed
 into byte or bit planes and each plane is compressed with zstandard on its own; high planes of
 small ids vanish. A block is one row of a Parquet data set: the payload, the block's place in
@@ -10,11 +11,14 @@ untouched, and every block can be decoded alone, in any order, on any executor.
 
 Defined cases: a null text is empty; every document ends with the end id, so none is without
 ids; null doc_ids come first; rows repeating a doc_id are stored as documents of their own,
-in the order of their texts; an empty table gives no blocks.
+in the order of a hash of their texts, then of the texts; a text of any length reaches over as many
+blocks as it needs; an empty table gives no blocks; other columns are not looked at, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -28,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm.common import prefix_sum, shared_dir
+from parallax.llm.common import prefix_sum, remove_at_exit, shared_dir, tidy
 
 #: Ids of a block; zstandard level; words that an encoder remembers; id that ends a document.
 BLOCK, LEVEL, REMEMBERED, END = 1 << 16, 3, 400_000, 1
@@ -78,11 +82,18 @@ def unpack(payload: bytes) -> np.ndarray:
 class WordEncoder:
     """The library's ids of whole texts, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and treats the words between independently of each other,
-    so ids are remembered by word. Latin text is cut as the tokenizer cuts it; all other text
-    is cut at ASCII white space and each word goes through the whole library call.
+    A tokenizer of the KNOWN kind drops white space and treats the words between independently of
+    each other, so ids are remembered by word. Latin text is cut as the tokenizer cuts it; all
+    other text is cut at ASCII white space and each word goes through the whole library call.
+    Texts for a tokenizer of any other kind go through the whole library call.
     """
 
+    #: Normaliser and splitting that the short cuts stand for. Fixed values.
+    KNOWN = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    )
+
     #: Text on which lower-casing and normal form are the same in both languages and need no neighbours.
     _LATIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ſ]*")
     _LETTERS = "a-z\xdf-\xf6\xf8-ſ"
@@ -94,6 +105,8 @@ class WordEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
+        made = json.loads(self._library.to_str())
+        self._known = (made["normalizer"], made["pre_tokenizer"]) == self.KNOWN and all(t["content"].startswith("<|") for t in made["added_tokens"])
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self._bytes = dict(zip(plain, plain, strict=True)) | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
         self._latin: dict[str, bytes] = {}
@@ -108,6 +121,8 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if not self._known:
+            return self._word(text)
         if self._LATIN.fullmatch(text) and "<|" not in text:
             words, known, encode = self._SPLIT.findall(text.lower()), self._latin, self._piece
         else:
@@ -154,6 +169,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, mode: str = "byte") -> Non
     """Encode each whole text, append the end id, and write all ids in ascending doc_id order under `path`."""
     end = struct.pack("<I", END)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         rows = ((doc_id.as_py(), own.encode(text.as_py() or "") + end) for batch in batches for doc_id, text in zip(batch.column(0), batch.column(1), strict=True))
@@ -162,7 +178,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, mode: str = "byte") -> Non
             yield pa.RecordBatch.from_pylist([block | {"part": part}], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    dealt.select("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
@@ -198,6 +216,7 @@ def pieces_of_block(payload: bytes, first: int, doc_ids: list, starts: list[int]
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks under `path`."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -212,7 +231,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store(docs: DataFrame, tokenizer: str, mode: str = "byte") -> str:
-    """Write `docs` to a new place in shared storage; returns the path."""
+    """Write `docs` to a new place in shared storage, which goes when the driver ends; returns the path."""
     path = f"{shared_dir(docs.sparkSession)}/token-planes-{uuid.uuid4().hex}"
+    remove_at_exit(docs.sparkSession, path)
     write(docs, tokenizer, path, mode)
     return path
