@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from parallax.llm.common import slices, tidy
 
 #: Characters of a leaf, ids of a decoding leaf, first width of a boundary window.
-LEAF, DECODE_LEAF, WINDOW = 1024, 1024, 32
+LEAF, DECODE_LEAF, WINDOW = 512, 1024, 32
 #: White-space runs from this length on are cut out here: the library's matcher overflows on very long ones.
 LONG_RUN = 1000
 

@@ -70,7 +70,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+#: Least padding of the first j lengths in k buckets or fewer, with their bounds; equal costs keep fewer buckets, then the smaller cut.
+_MORE_BUCKETS = "".join(
+    f"""
+             e{k} AS (SELECT j, arg_min(cost, (cost, i)) AS cost, arg_min(bounds, (cost, i)) AS bounds FROM
+                      (SELECT j, 0 AS i, cost, bounds FROM e{k - 1} UNION ALL SELECT p.j, e.j, e.cost + p.pad, list_append(e.bounds, p.j_len) FROM e{k - 1} e JOIN pad p ON p.i = e.j AND p.i < p.j) GROUP BY j),"""
+    for k in range(2, packing.BUCKETS + 1)
+)
+
 SQL = {
+    "op2_length_buckets": rf"""
+        WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n, substr(md5(coalesce(text, '')), 1, 4) AS text_key FROM documents),
+             s AS (SELECT doc_id, segment, segment * {packing.MAX_LEN} AS start, least({packing.MAX_LEN}, n - segment * {packing.MAX_LEN}) AS n_tokens, text_key FROM (SELECT *, unnest(range((n - 1) // {packing.MAX_LEN} + 1)) AS segment FROM d)),
+             h AS (SELECT n_tokens, count(*) AS many, row_number() OVER (ORDER BY n_tokens) AS j FROM s GROUP BY n_tokens),
+             t AS (SELECT *, sum(many) OVER (ORDER BY j) AS before, sum(many * n_tokens) OVER (ORDER BY j) AS tokens FROM h UNION ALL SELECT 0, 0, 0, 0, 0),
+             pad AS (SELECT a.j AS i, b.j AS j, b.n_tokens AS j_len, b.n_tokens * (b.before - a.before) - (b.tokens - a.tokens) AS pad FROM t a JOIN t b ON a.j < b.j),
+             e1 AS (SELECT j, pad AS cost, [j_len] AS bounds FROM pad WHERE i = 0),{_MORE_BUCKETS}
+             u AS (SELECT bounds FROM e{packing.BUCKETS} ORDER BY j DESC LIMIT 1),
+             p AS (SELECT *, len(list_filter(bounds, lambda b: b < n_tokens)) AS bucket FROM s, u),
+             o AS (SELECT *, bounds[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), segment::VARCHAR, text_key)), 1, 3), doc_id NULLS FIRST, segment, n_tokens, text_key) - 1 AS slot FROM p)
+        SELECT doc_id, segment, start, n_tokens, bucket::INT AS bucket, bucket_len, slot // ({packing.BUDGET} // bucket_len) AS batch, slot % ({packing.BUDGET} // bucket_len) AS position, bucket_len - n_tokens AS padding FROM o""",
+    "op4_rendezvous_shards": r"""
+        WITH tab AS (SELECT [list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) for n in range(256)] AS tab),
+             d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, coalesce(text, '') AS said FROM documents),
+             b AS (SELECT doc_id, key, strlen(said) + 1 AS size, [('0x' || p)::BIGINT for p in regexp_extract_all(hex(encode(said)), '..')] AS bytes FROM d),
+             c AS (SELECT doc_id, key, size, xor(list_reduce([4294967295] || bytes, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM b, tab),
+             k AS (SELECT DISTINCT key, s, -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM d, range(9) r(s)),
+             w AS (SELECT key, arg_min(s, score) FILTER (s < 8) AS shard, arg_min(s, score) AS grown_shard FROM k GROUP BY key)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || text_crc32), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+        FROM c JOIN w USING (key)""",
     "op6_perspective_rotation": r"""
         WITH s AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
              v AS (SELECT *, md5(speaker || ':' || said) AS h, regexp_replace(said, '<(\|+im_(?:start|end)\|>)', '<|\1', 'g') AS plain, regexp_replace(regexp_replace(speaker, '<(\|+im_(?:start|end)\|>)', '<|\1', 'g'), '[\r\n]', ' ', 'g') AS called FROM s),
