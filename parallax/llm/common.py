@@ -91,9 +91,13 @@ def discard(*stored: DataFrame) -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def few_or_merged(ids: DataFrame) -> DataFrame:
-    """A stored table of ids as the small side of a join: broadcast up to BROADCAST_ROWS rows, else merged."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+def few_or_merged(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table of ids as the small side of a join: broadcast up to BROADCAST_ROWS rows, else merged.
+
+    most: a number of rows that `ids` does not exceed; if that is few, they are not counted.
+    """
+    few = (most is not None and most <= BROADCAST_ROWS) or ids.count() <= BROADCAST_ROWS
+    return F.broadcast(ids) if few else ids.hint("merge")
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -303,13 +303,36 @@ def edges(nodes: DataFrame, most: int, max_group: int = MAX_GROUP) -> DataFrame:
     return _by_patterns(nodes.select("fp"), ["fp"], most, 1, max_group, FREE_BITS, lambda rows: _search(rows, groups, "u long, v long"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) of every node that is in an edge and not its own root; root: the smallest node reached."""
+#: Edges that one task may hold.
+FEW_EDGES = 1 << 14
+
+
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([np.asarray(c) for c in batch.columns]) for batch in batches]
+        if ends:
+            (u, v) = np.concatenate(ends, axis=1)
+            names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = _forest(len(names), iter([(place[: len(u)], place[len(u) :])]))
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(pairs: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(node, root) of every node that is in an edge and not its own root; root: the smallest node reached.
+
+    Up to `few` edges are connected in one task, more by rounds over stored tables.
+    """
     current = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if current.count() <= few:
+        return materialise(_components_of_few(current), "roots")
     state = None
     while True:
         seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen[0] == 0 or tuple(seen) == state:
+        if tuple(seen) == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = tuple(seen)
         # large star: the larger neighbours of each node go to its smallest one
@@ -462,22 +485,31 @@ def index_pairs(nodes: DataFrame, most: int, max_group: int) -> DataFrame:
     return across.unionByName(equal)
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """(bucket, n) of the buckets whose nodes are not all connected yet."""
+PAIR = "u long, v long, u_root long, v_root long"
+
+
+def _mixed(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """(bucket, n) of the buckets whose nodes are not all connected yet; how many there are, and the largest n."""
     stats = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return materialise(stats.where("low < high").select("bucket", "n"), "mixed-buckets")
+    found = materialise(stats.where("low < high").select("bucket", "n"), "mixed-buckets")
+    many, largest = found.agg(F.count(F.lit(1)), F.max("n")).first()
+    return found, many, largest or 0
 
 
-def bucket_members(nodes: DataFrame, max_group: int) -> DataFrame:
-    """(bucket, n, size, node, root, pos) of the nodes of mixed buckets; nodes: (node, root, size, b0, b1, ...).
+def bucket_members(nodes: DataFrame, max_group: int) -> tuple[DataFrame, int]:
+    """(bucket, n, size, node, root, pos) of the nodes of mixed buckets, and the largest n; nodes: (node, root, size, b0, b1, ...).
 
     pos numbers the nodes of a bucket of more than `max_group` by (size, node); it is null in others.
     """
     rows = nodes.select(F.explode(F.array(*BUCKETS)).alias("bucket"), "size", "node", "root")
-    members = materialise(rows.join(few_or_merged(_mixed(rows)), "bucket").select("bucket", "n", "size", "node", "root"), "members")
+    mixed, many, largest = _mixed(rows)
+    members = materialise(rows.join(few_or_merged(mixed, many), "bucket").select("bucket", "n", "size", "node", "root"), "members")
+    if largest <= max_group:
+        return members.withColumn("pos", F.lit(None).cast("long")), largest
     hot = members.where(F.col("n") > max_group).withColumn("_salt", F.floor(F.pmod("node", F.lit(1 << 33)) / 1024).cast("long"))
     hot = prefix_sum(hot, ["bucket"], ["size", "_salt"], ["node"], {"pos": F.lit(1)}).drop("_salt")
-    return members.where(F.col("n") <= max_group).withColumn("pos", F.lit(None).cast("long")).unionByName(hot.select("bucket", "n", "size", "node", "root", "pos"))
+    cool = members.where(F.col("n") <= max_group).withColumn("pos", F.lit(None).cast("long"))
+    return materialise(cool.unionByName(hot.select(*cool.columns)), "numbered-members"), largest
 
 
 def _alike(size: np.ndarray, classes: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
@@ -491,8 +523,8 @@ def _alike(size: np.ndarray, classes: np.ndarray, one: np.ndarray, two: np.ndarr
     return out
 
 
-def window_pairs(members: DataFrame, low: int, high: int, least: float, max_group: int) -> DataFrame:
-    """(u, v), u < v: nodes of a bucket, `low` to `high` - 1 places apart by size, that are not connected yet.
+def window_pairs(members: DataFrame, low: int, high: int, least: float, max_group: int, largest: int) -> DataFrame:
+    """(u, v, u_root, v_root): nodes of a bucket, `low` to `high` - 1 places apart by size, that are not connected yet, u < v, with their roots.
 
     A pair is left out only if its sizes or class counts prove that its similarity is below `least`.
     Buckets of more than `max_group` nodes are cut into blocks of that many places: a task holds the
@@ -506,8 +538,9 @@ def window_pairs(members: DataFrame, low: int, high: int, least: float, max_grou
             one, two = one[apart], two[apart]
             alike = _alike(size, classes, one, two, least)
             if alike.any():
-                u, v = node[one[alike]], node[two[alike]]
-                yield np.minimum(u, v), np.maximum(u, v)
+                one, two = one[alike], two[alike]
+                one, two = np.where(node[one] < node[two], one, two), np.where(node[one] < node[two], two, one)
+                yield node[one], node[two], root[one], root[two]
 
     def whole(starts: np.ndarray, _bucket: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         sizes = np.diff(np.r_[starts, len(node)])
@@ -531,13 +564,15 @@ def window_pairs(members: DataFrame, low: int, high: int, least: float, max_grou
 
             yield from paired(size, node, root, counts, steps())
 
-    found = _search(members.where("pos IS NULL").select("bucket", "size", "node", "root", *COUNTS), whole, "u long, v long", ["bucket"], ["size", "node"])
+    found = _search(members.where("pos IS NULL").select("bucket", "size", "node", "root", *COUNTS), whole, PAIR, ["bucket"], ["size", "node"])
+    if largest <= max_group:
+        return found.distinct()
     hot = members.where("pos IS NOT NULL")
     own, side = F.floor(F.col("pos") / max_group).cast("long"), lambda block, right: F.struct(block.alias("block"), F.lit(right).cast("long").alias("right"))
     reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - (high - 1)) / max_group)).cast("long"), F.floor((F.col("pos") - low) / max_group).cast("long"))
     rights = F.when(F.col("pos") >= low, F.transform(reach, lambda k: side(k, 1))).otherwise(F.array().cast("array<struct<block:bigint,right:bigint>>"))
     hot = hot.withColumn("_at", F.explode(F.concat(F.array(side(own, 0)), rights))).select("bucket", "_at.block", "pos", "_at.right", "size", "node", "root", *COUNTS)
-    return found.unionByName(_search(hot, blocks, "u long, v long", ["bucket", "block"], ["right", "pos"])).distinct()
+    return found.unionByName(_search(hot, blocks, PAIR, ["bucket", "block"], ["right", "pos"])).distinct()
 
 
 class _Texts:
@@ -564,26 +599,36 @@ class _Texts:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], ["key", "shingles", *COUNTS])
 
         ends = materialise(self.nodes.join(few_or_merged(asked), "node", "left_semi").select("key", "node", "first_id"), "asked-nodes")
-        wanted = materialise(ends.select(F.col("first_id").alias("_wanted")).distinct(), "wanted")
-        texts = self.docs.join(few_or_merged(wanted), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+        wanted = ends.select(F.col("first_id").alias("_wanted")).distinct()
+        texts = self.docs.join(few_or_merged(wanted, ends.count()), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
         made = texts.select("text").mapInArrow(run, f"key binary, shingles binary, {', '.join(f'{c} long' for c in COUNTS)}").dropDuplicates(["key"])
         return materialise(made.join(ends.select("key", "node"), "key").select("node", "shingles", *COUNTS), "shingles")
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (u, v) that are similar, less those that others of a batch replace; sets: from of()."""
+    def links(self, pairs: DataFrame, many: int, sets: DataFrame) -> DataFrame:
+        """(u, v): the roots of the pairs that are similar, less the links that others of a batch replace.
+
+        pairs: a stored table (u, v, u_root, v_root) of `many` rows; sets: from of().
+        """
         least = self.least
 
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                alike = batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["u", "v"])
+                alike = batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select([0, 1])
                 names, place = np.unique(np.concatenate([np.asarray(c) for c in alike.columns]), return_inverse=True)
-                yield alike.take(pa.array(_forest_of(len(names), place[: alike.num_rows], place[alike.num_rows :])))
+                yield alike.take(pa.array(_forest_of(len(names), place[: alike.num_rows], place[alike.num_rows :]))).rename_columns(["u", "v"])
 
         asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        own = sets.select("node", "shingles").join(few_or_merged(materialise(asked, "asked")), "node", "left_semi")
+        own = sets.select("node", "shingles").join(few_or_merged(asked, 2 * many), "node", "left_semi")
         side = lambda end, name: own.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
-        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u_root", "v_root", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after links between roots: (node, root) of each node that is not its own root."""
+    new = components(links)
+    before = roots.join(few_or_merged(new.select(F.col("node").alias("root"), F.col("root").alias("_to"))), "root", "left")
+    return materialise(before.select("node", F.coalesce("_to", "root").alias("root")).unionByName(new), "roots")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -605,24 +650,28 @@ def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     texts = _Texts(docs, nodes.select("key", "node", "first_id"), shingle, least)
 
-    pairs = materialise(index_pairs(nodes.select("node", "fp"), link_bits, max_group), "candidates")
+    pairs = index_pairs(nodes.select("node", "fp"), link_bits, max_group)
+    pairs = materialise(pairs.withColumns({"u_root": F.col("u"), "v_root": F.col("v")}), "candidates")
     ends = materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "linked-nodes")
     sets = texts.of(ends)
-    roots = components(texts.links(pairs, sets))
+    roots = components(texts.links(pairs, pairs.count(), sets))
     discard(sets, ends, pairs)
 
-    members = materialise(bucket_members(_with_roots(nodes.select("node", "size", *BUCKETS), roots), max_group), "buckets")
-    sets = texts.of(materialise(members.select("node").distinct(), "candidate-nodes"))
-    members = materialise(members.join(sets.select("node", *COUNTS).hint("merge"), "node"), "counted-buckets")
-    low, high, largest = 1, 2, members.agg(F.max("n")).first()[0] or 0
+    members, largest = bucket_members(_with_roots(nodes.select("node", "size", *BUCKETS), roots), max_group)
+    if largest:
+        sets = texts.of(materialise(members.select("node").distinct(), "candidate-nodes"))
+        members = materialise(members.join(sets.select("node", *COUNTS).hint("merge"), "node"), "counted-buckets")
+    low, high = 1, 2
     while low < largest:
-        pairs = materialise(window_pairs(members, low, high, least, max_group), "candidates")
-        if not pairs.isEmpty():
-            roots = components(texts.links(pairs, sets).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        pairs = materialise(window_pairs(members, low, high, least, max_group, largest), "candidates")
+        if many := pairs.count():
+            roots = _moved(roots, texts.links(pairs, many, sets))
         # what goes on: buckets with members further apart and more than one component
         further = _with_roots(members.where(F.col("n") > high).drop("root"), roots)
-        members = materialise(further.join(few_or_merged(_mixed(further).select("bucket")), "bucket", "left_semi").select(*members.columns), "buckets")
-        low, high, largest = high, min(high * WIDEN, high + max_group), members.agg(F.max("n")).first()[0] or 0
+        mixed, many, largest = _mixed(further)
+        if many:
+            members = materialise(further.join(few_or_merged(mixed.select("bucket"), many), "bucket", "left_semi").select(*members.columns), "buckets")
+        low, high = high, min(high * WIDEN, high + max_group)
     rooted = materialise(_with_roots(nodes.select("key", "node", "first_id"), roots).select("key", "first_id", "root"), "rooted")
     smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     classes = materialise(rooted.join(smallest.hint("merge"), "root").select("key", "component_id"), "classes")
