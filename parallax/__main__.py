@@ -8,13 +8,15 @@ import sys
 from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
+from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax import schemas
 from parallax.functions import distribution
-from parallax.operators import contrast, decide, gates, resume, summarise
+from parallax.operators import contrast, decide, gates, resume, spans, summarise
 from parallax.operators.programs import frames
 from parallax.plans import publish
 from parallax.sources import manifest, readers, writers
@@ -28,8 +30,15 @@ def session() -> SparkSession:
 
 
 def measure(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Measure score vectors and summarise trajectories; goes on where a broken run stopped."""
+    """Measure score vectors and summarise trajectories; goes on where a broken run stopped.
+
+    A real run has to be confirmed, and its stimuli must be those that were validated.
+    """
     gates.require_confirmed(a.confirm_real_run, "", "")
+    validated = json.loads(Path(a.validation).read_text())
+    if not validated.get("passed"):
+        raise gates.GateError("the validation report does not pass")
+    gates.require_confirmed(True, validated.get("stimuli_sha256"), manifest.store_sha256(spark, a.stimuli))
     out = Path(a.results_dir)
     config = {"scores": a.scores, "top_k": a.top_k, "valid_vocab": a.valid_vocab, "first_position": 1}
     if (out / "config.json").exists():
@@ -90,6 +99,11 @@ def build_ir(spark: SparkSession, a: argparse.Namespace) -> None:
     tasks = readers.tasks(spark, a.tasks)
     contrast.specs(tasks, expected=a.variants).count()
     frames.build(tasks).write.mode("overwrite").parquet(a.output)
+    programs = spark.read.schema(schemas.PROGRAM).parquet(a.output)
+    counts = {r.node_type: r.n for r in frames.construct_histogram(programs).orderBy("node_type").collect()}
+    head = {"tasks_sha256": manifest.sha256_file(Path(a.tasks)), "program_count": programs.count(), "construct_counts": counts, "content_sha256": frames.content_sha256(programs)}
+    # the time is no part of what is hashed
+    writers.write_json(f"{a.output.rstrip('/')}.json", head | {"generated_at_utc": datetime.now(UTC).isoformat()})
 
 
 def render(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -99,8 +113,6 @@ def render(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Span and execution checks of renderings; fails if any does not hold."""
-    from parallax.operators import spans
-
     rows = spark.read.schema(schemas.RENDERED).parquet(a.rendered)
     each = rows.select("trajectory_id", F.length("reference_text").alias("n"), F.explode("semantic_step_spans").alias("s")).select("trajectory_id", "n", "s.*")
     checks = [("span_errors", "0", spans.span_errors(each, ["trajectory_id"], "n").count())]
@@ -109,7 +121,8 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     if not a.skip_execution:
         checks.append(("failed_programs", "0", frames.differential_runs(rows, allow_execution=True).where("not passed").count()))
     report = gates.check_rows(spark, [(n, e, str(v), str(v) == e) for n, e, v in checks])
-    writers.write_json(a.output, {"checks": [r.asDict() for r in report.collect()]})
+    found = [r.asDict() for r in report.collect()]
+    writers.write_json(a.output, {"passed": all(c["passed"] for c in found), "stimuli_sha256": manifest.store_sha256(spark, a.rendered), "checks": found})
     gates.enforce(report)
 
 
@@ -132,16 +145,83 @@ def release_check(spark: SparkSession, a: argparse.Namespace) -> None:
     """A release folder against its manifest; fails if anything differs."""
     files = json.loads(Path(a.manifest).read_text())["files"]
     expected = spark.createDataFrame([(f["path"], f["size_bytes"], f["sha256"]) for f in files], schemas.MANIFEST)
-    failures = manifest.validate(spark, a.root, expected, [Path(a.manifest).name]).orderBy("path", "failure").collect()
+    evidence = (a.evidence, a.artifacts) if a.evidence else None
+    failures = manifest.validate(spark, a.root, expected, [Path(a.manifest).name], evidence=evidence).orderBy("path", "failure").collect()
     for r in failures:
         print(f"{r.failure}: {r.path}")
     if failures:
         raise gates.GateError(f"{len(failures)} failures")
 
 
+def audit(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Published numbers, texts and hashes against the files of a release; fails if any differs.
+
+    The list of expectations is one document: numbers {file: {dotted key: value}}, texts {file:
+    [strings that it must hold]}, hashes {file: SHA-256}.
+    """
+    root, wanted = Path(a.root), json.loads(Path(a.expected).read_text(encoding="utf-8"))
+
+    def number(file: str, key: str) -> float | None:
+        found: Any = json.loads((root / file).read_text(encoding="utf-8"))
+        for part in key.split("."):
+            found = found.get(part) if isinstance(found, dict) else found[int(part)] if isinstance(found, list) and part.isdigit() and int(part) < len(found) else None
+        return float(found) if isinstance(found, int | float) else None
+
+    names = [(f, k, float(v)) for f, keys in wanted.get("numbers", {}).items() for k, v in keys.items()]
+    expected = spark.createDataFrame(names, "file string, key string, value double")
+    actual = spark.createDataFrame([(f, k, number(f, k)) for f, k, _ in names], "file string, key string, value double")
+    rows = [(f"{r.file} {r.key}", str(r.expected), str(r.actual), r.passed) for r in gates.number_audit(expected, actual, ["file", "key"], tolerance=a.tolerance).collect()]
+    for file, strings in wanted.get("texts", {}).items():
+        text = (root / file).read_text(encoding="utf-8")
+        rows += [(f"{file} holds", s, "yes" if s in text else "no", s in text) for s in strings]
+    for file, digest in wanted.get("hashes", {}).items():
+        found = manifest.sha256_file(root / file)
+        rows.append((f"{file} hash", digest, found, digest == found))
+    gates.enforce(gates.check_rows(spark, rows))
+    print(f"{len(rows)} expectations hold")
+
+
+def release(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Tables, audit, manifest and release check, one after the other; stops at the first that fails."""
+    steps = (
+        (publish_tables, {"results_root": a.results_root, "output": f"{a.root}/tables"}), (audit, {"root": a.root, "expected": a.expected, "tolerance": a.tolerance}),
+        (write_manifest, {"root": a.root, "output": a.manifest}), (release_check, {"root": a.root, "manifest": a.manifest, "evidence": a.evidence, "artifacts": a.artifacts}),
+    )
+    for step, options in steps:
+        print(step.__name__)
+        step(spark, argparse.Namespace(**options))
+
+
+#: Programs of the smoke run.
+SMOKE = ("def double_all(values):\n    out = []\n    for value in values:\n        out.append(value * 2)\n    return out\n", "def sign_of(number):\n    if number < 0:\n        return -1\n    return 1\n")
+
+
+def smoke(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Synthetic programs through every step, from syntax tree to trajectories, with a made-up scorer."""
+    if not a.confirm_synthetic_smoke:
+        raise gates.GateError("a smoke run must be confirmed")
+    tasks = spark.createDataFrame([(f"smoke{k}", "synthetic_debug", "Debug.", ["Follow the stated procedure."], [s]) for k, s in enumerate(SMOKE)], schemas.TASK)
+    rendered = frames.render_programs(frames.build(tasks))
+    pieces = spans.tokenize(rendered, ["trajectory_id", "task_id", "family", "condition", "variant"], "reference_text")
+    # ids of a vocabulary of 64; the first one stands for the prompt
+    each = pieces.groupBy("trajectory_id", "task_id", "family", "condition", "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: F.pmod(F.crc32(p["piece"].cast("binary")), F.lit(64)).cast("int")).alias("ids"))
+    sequences = each.withColumn("token_ids", F.concat(F.array(F.lit(1)), "ids")).drop("ids")
+
+    def scorer(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.cos(ids[:, :, None] * mask[:, :, None] + np.arange(64)) * 3
+
+    scored = readers.scored(sequences, scorer, batch=4, vocab=64).withColumnsRenamed({"position": "reference_position", "token_id": "reference_token_id"}).drop("token_ids")
+    tokens = distribution.measure(scored.withColumn("logits", F.col("logits").cast("array<double>"))).withColumnsRenamed({"entropy_top": "entropy_top20_normalized", "entropy": "entropy_valid_vocab"})
+    out = summarise.trajectories(summarise.drop_first(tokens), ["trajectory_id", "task_id", "family", "condition", "variant"], ["reference_position"], extra=("top_mass", "reference_surprisal"))
+    out.write.mode("overwrite").parquet(f"{a.output}/trajectories.parquet")
+    written = spark.read.parquet(f"{a.output}/trajectories.parquet")
+    expected = len(SMOKE) * len(schemas.CONDITIONS)
+    gates.enforce(gates.expectations(written, {"trajectories": (F.count(F.lit(1)), expected), "all_valid": (F.coalesce(F.bool_and("trajectory_valid"), F.lit(False)), True)}))
+
+
 #: command, function, options: name, type or action, default (None with a type: required).
 COMMANDS: dict[str, tuple[Callable, tuple[tuple, ...]]] = {
-    "measure": (measure, (("--scores", str, None), ("--results-dir", str, None), ("--top-k", int, distribution.TOP_K), ("--valid-vocab", int, 0), ("--limit", int, 0), ("--wide", bool, False), ("--confirm-real-run", bool, False))),
+    "measure": (measure, (("--scores", str, None), ("--results-dir", str, None), ("--top-k", int, distribution.TOP_K), ("--valid-vocab", int, 0), ("--limit", int, 0), ("--wide", bool, False), ("--confirm-real-run", bool, False), ("--stimuli", str, ""), ("--validation", str, ""))),
     "analyze": (analyze, (("--results-dir", str, None), ("--model-slug", str, ""), ("--registry", str, ""), ("--trajectories", int, 0), ("--cells", int, 0), ("--sign-flips", int, 200_000), ("--bootstraps", int, 100_000))),
     "compare": (compare, (("--results-root", str, None), ("--models", int, 3))),
     "build-ir": (build_ir, (("--tasks", str, None), ("--output", str, None), ("--variants", int, 3), ("--expected-sha256", str, ""))),
@@ -149,7 +229,10 @@ COMMANDS: dict[str, tuple[Callable, tuple[tuple, ...]]] = {
     "validate": (validate, (("--rendered", str, None), ("--output", str, None), ("--skip-execution", bool, False))),
     "publish": (publish_tables, (("--results-root", str, None), ("--output", str, None))),
     "manifest": (write_manifest, (("--root", str, None), ("--output", str, None))),
-    "release-check": (release_check, (("--root", str, None), ("--manifest", str, None))),
+    "release-check": (release_check, (("--root", str, None), ("--manifest", str, None), ("--evidence", str, ""), ("--artifacts", int, 0))),
+    "audit": (audit, (("--root", str, None), ("--expected", str, None), ("--tolerance", float, 1e-12))),
+    "release": (release, (("--root", str, None), ("--results-root", str, None), ("--expected", str, None), ("--manifest", str, None), ("--tolerance", float, 1e-12), ("--evidence", str, ""), ("--artifacts", int, 0))),
+    "smoke": (smoke, (("--output", str, None), ("--confirm-synthetic-smoke", bool, False))),
 }
 
 

@@ -49,12 +49,12 @@ def definitions(spark: SparkSession, contrasts: Sequence[tuple[str, str, str, st
 def contrasts(means: DataFrame, defs: DataFrame, keys: Sequence[str], condition: str, metrics: Sequence[str]) -> DataFrame:
     """Long table (contrast, left, right, keys, delta_{metric}...) over all definitions.
 
-    Each mean is sent to the contrasts it takes part in (the definitions are a handful of rows)
-    with its sign, and the two sides meet in one aggregation: one shuffle for any number of
+    Each mean is sent to the contrasts it takes part in (the definitions are a handful of rows; the
+    planner broadcasts them if their size allows) with its sign, and the two sides meet in one aggregation: one shuffle for any number of
     contrasts, instead of a self-join each. `paired` says whether both sides are there.
     """
     on = F.col(condition)
-    sides = F.broadcast(defs.withColumn("_on", F.explode(F.array("left_condition", "right_condition"))))
+    sides = defs.withColumn("_on", F.explode(F.array("left_condition", "right_condition")))
     sided = means.join(sides, on == F.col("_on"))
     is_left = on == F.col("left_condition")
     left = lambda m: F.max(F.when(is_left, F.col(m)))
@@ -75,8 +75,14 @@ def family_spread(families: DataFrame, keys: Sequence[str], delta: str) -> DataF
     return families.groupBy(*keys).agg(F.min(x).alias("min_family_delta"), F.max(x).alias("max_family_delta"), F.avg(x).alias("mean_family_delta"), F.count(F.when(x > 0, 1)).alias("positive_families"), F.count(F.lit(1)).alias("total_families"))
 
 
-def completeness(rows: DataFrame, key: str, condition: str, levels: Sequence[str], expected: int | None = None) -> DataFrame:
-    """Rows in each cell of the full grid key x level, 0 where there is none."""
+def completeness(rows: DataFrame, key: str, condition: str, levels: Sequence[str], expected: int | None = None, units: DataFrame | None = None) -> DataFrame:
+    """Rows in each cell of the full grid key x level, 0 where there is none.
+
+    units: a table of the keys that are expected; those without any row are reported too, with zeros.
+    """
+    if units is not None:
+        listed = units.select(key).where(F.col(key).isNotNull()).distinct().withColumn(condition, F.lit(None).cast(rows.schema[condition].dataType))
+        rows = rows.select(key, condition).unionByName(listed)
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.count(F.when(F.col(condition) == level, 1)).alias(f"_{k}") for k, level in enumerate(levels)))
     cells = F.explode(F.array(*(F.struct(F.lit(level).alias(condition), F.col(f"_{k}").alias("n")) for k, level in enumerate(levels))))
     out = counts.select(key, cells.alias("_c")).select(key, f"_c.{condition}", "_c.n")

@@ -95,6 +95,11 @@ def canonical_json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def canonical_row(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """canonical_json() of some columns of each row; nulls are written."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns) if c in rows.columns)), {"ignoreNullFields": "false"})
+
+
 def json_sha256(value: Any) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 

@@ -10,7 +10,7 @@ are ordinary distributed aggregations.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 
 #: Seed, draws and level of the published analysis. Fixed values.
 SEED, SIGN_FLIPS, BOOTSTRAPS, CONFIDENCE = 20260916, 200_000, 100_000, 0.99
-#: Draws that are in memory at once.
-FLIP_CHUNK, BOOT_CHUNK = 10_000, 5_000
-#: Units that one group may have.
-MAX_UNITS = 1_000_000
+#: Numbers drawn that are in memory at once: draws times units.
+CELLS = 1 << 20
+#: Units that one group may have; more go through the spread forms.
+MAX_UNITS = 100_000
 
 
 def describe(deltas: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
-    """n, mean, median, sample SD, dz, and counts by sign; dz is null without spread."""
+    """n, mean, median, sample SD, dz, and counts by sign; dz is null without spread.
+
+    The median is exact: it holds the different values of a group, whose units resample() bounds too.
+    """
     x = F.col(delta)
     out = deltas.where(x.isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("sd"),
@@ -62,14 +65,21 @@ def holm(rows: DataFrame, keys: Sequence[str], p: str, tie: str, name: str = "ho
     return out.withColumn(name, F.max("_scaled").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_scaled")
 
 
+def _chunks(draws: int, units: int) -> Iterator[int]:
+    """How many draws to take at once; the generator gives the same numbers however they are cut."""
+    rows = max(1, CELLS // max(1, units))
+    for start in range(0, draws, rows):
+        yield min(rows, draws - start)
+
+
 def flip_test(x: np.ndarray, two_sided: bool, draws: int = SIGN_FLIPS, seed: int = SEED) -> tuple[int, float]:
     """Extreme draws, and (extreme + 1) / (draws + 1), of the sign-flip test on the mean.
 
     The generator is made anew for each vector: vectors of equal length share their signs.
     """
     rng, seen, extreme = np.random.default_rng(seed), abs(x.mean()) if two_sided else x.mean(), 0
-    for start in range(0, draws, FLIP_CHUNK):
-        up = rng.integers(0, 2, size=(min(FLIP_CHUNK, draws - start), len(x)), dtype=np.int64)
+    for rows in _chunks(draws, len(x)):
+        up = rng.integers(0, 2, size=(rows, len(x)), dtype=np.int64)
         means = np.where(up == 1, x, -x).mean(axis=1)
         extreme += int(((np.abs(means) if two_sided else means) >= seen).sum())
     return extreme, (extreme + 1) / (draws + 1)
@@ -78,7 +88,7 @@ def flip_test(x: np.ndarray, two_sided: bool, draws: int = SIGN_FLIPS, seed: int
 def percentile_ci(x: np.ndarray, draws: int = BOOTSTRAPS, confidence: float = CONFIDENCE, seed: int = SEED) -> tuple[float, float]:
     """Percentile interval of the mean under resampling with replacement."""
     rng = np.random.default_rng(seed)
-    means = np.concatenate([x[rng.integers(0, len(x), size=(min(BOOT_CHUNK, draws - start), len(x)))].mean(axis=1) for start in range(0, draws, BOOT_CHUNK)])
+    means = np.concatenate([x[rng.integers(0, len(x), size=(rows, len(x)))].mean(axis=1) for rows in _chunks(draws, len(x))])
     half = (1.0 - confidence) / 2.0
     return float(np.quantile(means, half)), float(np.quantile(means, 1.0 - half))
 
@@ -179,9 +189,18 @@ def _mix(draw: Column, unit: Column, modulus: int) -> Column:
 
 
 def numbered(deltas: DataFrame, keys: Sequence[str], unit: Sequence[str]) -> DataFrame:
-    """Add `unit_no` from 0 within each group, and `n_units`."""
+    """Add `unit_no` from 0 within each group, and `n_units`.
+
+    Units are dealt over 4096 blocks of a group by a hash and numbered by (hash, unit), so that no
+    window holds a whole group.
+    """
+    salted = deltas.withColumn("_salt", F.substring(F.md5(F.concat_ws(":", *(F.col(u).cast("string") for u in unit))), 1, 3))
     group = Window.partitionBy(*keys)
-    return deltas.withColumns({"unit_no": (F.row_number().over(group.orderBy(*unit)) - 1).cast("long"), "n_units": F.count(F.lit(1)).over(group)})
+    before = group.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(group).alias("n_units"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*unit)) - 1
+    return salted.withColumn("_at", inner).join(blocks, [*keys, "_salt"]).withColumn("unit_no", (F.col("_base") + F.col("_at")).cast("long")).drop("_salt", "_base", "_at")
 
 
 def signflip_spread(deltas: DataFrame, keys: Sequence[str], delta: str, draws: int) -> DataFrame:

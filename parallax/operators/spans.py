@@ -19,18 +19,29 @@ from parallax.schemas import ANCHOR, BOUNDARY, FIRST_TOKEN, MAPPED, NOT_APPLICAB
 
 #: Runs of word characters, single other characters, runs of white space.
 PIECES = r"\s+|[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
+#: Pieces whose offsets are summed in one go.
+RUN = 64
 
 
 def tokenize(rows: DataFrame, keys: Sequence[str], text: str, pattern: str = PIECES) -> DataFrame:
     """(keys, pos, piece, start_char, end_char): the pieces of a text, numbered from 1.
 
-    The pattern must cover the text without gaps, so that offsets are running lengths.
+    The pattern must cover the text without gaps, so that offsets are running lengths. They are
+    summed inside the row: nothing is shuffled, and rows that repeat a key do not mix.
     """
     pieces = rows.select(*keys, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_p"))
-    ordered = pieces.select(*keys, F.posexplode("_p").alias("_i", "piece"))
-    whole = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("piece")).over(whole).cast("long")
-    return ordered.withColumn("end_char", end).select(*keys, (F.col("_i") + 1).cast("long").alias("pos"), "piece", (F.col("end_char") - F.length("piece")).cast("long").alias("start_char"), "end_char")
+    none = F.array().cast("array<struct<piece:string,start_char:bigint,end_char:bigint>>")
+    # offsets are summed over runs of RUN pieces and inside each: appending to one long array would copy it for every piece
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_p") / RUN).cast("int")), lambda k: F.slice("_p", k * RUN + 1, RUN))
+    sizes = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
+    starts = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    placed = F.transform(runs, lambda r, k: F.aggregate(
+        r, F.struct(F.get(starts, k).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(x.alias("piece"), acc["at"].alias("start_char"), (acc["at"] + F.length(x)).alias("end_char")))).alias("out")),
+        lambda acc: acc["out"],
+    ))
+    out = pieces.select(*keys, F.posexplode(F.flatten(placed)).alias("_i", "_t"))
+    return out.select(*keys, (F.col("_i") + 1).cast("long").alias("pos"), "_t.piece", "_t.start_char", "_t.end_char")
 
 
 def tokenize_with(rows: DataFrame, text: str, tokenizer: Callable[[list[str]], list[list[tuple[int, int, int]]]]) -> DataFrame:

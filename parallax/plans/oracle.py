@@ -94,7 +94,7 @@ _TRAJ = f"""WITH {_EV}, a AS (SELECT *, abs(value - lag(value) OVER w) AS c1, ab
     FROM g JOIN {_run("p1 >= 0.9", "(SELECT * FROM ev WHERE pos > 1)", "user_id", "pos")} r9 USING (user_id) JOIN {_run("p1 >= 0.99", "(SELECT * FROM ev WHERE pos > 1)", "user_id", "pos")} r99 USING (user_id)"""
 
 _MIX = "(({d}::BIGINT * 7919 + {u} * 104729 + ({d}::BIGINT * {u}) % 997 * 31 + ({d}::BIGINT * {d} + {u}) % 1009 * 613) % {m})"
-_UNITS = "u AS (SELECT contrast, delta_price AS x, row_number() OVER (PARTITION BY contrast ORDER BY task_id) - 1 AS unit_no, count(*) OVER (PARTITION BY contrast) AS n_units FROM dl)"
+_UNITS = "u AS (SELECT contrast, delta_price AS x, row_number() OVER (PARTITION BY contrast ORDER BY substr(md5(task_id::VARCHAR), 1, 3), task_id) - 1 AS unit_no, count(*) OVER (PARTITION BY contrast) AS n_units FROM dl)"
 _SEGMENTS = f"""o AS (SELECT c_mktsegment AS model, c_nationkey::BIGINT AS task_id, o_orderpriority AS condition, avg(o_totalprice) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
     def(contrast, l, r, alternative) AS (VALUES ('C1', '1-URGENT', '2-HIGH', 'positive'), ('C4', '1-URGENT', '5-LOW', 'two_sided')),
     dl AS (SELECT a.model, contrast, alternative, a.task_id, a.price - b.price AS x FROM def JOIN o a ON a.condition = l JOIN o b ON b.condition = r AND b.model = a.model AND b.task_id = a.task_id),
@@ -110,12 +110,12 @@ SQL: dict[str, str] = {
     "task_condition_means": f"WITH {_M} SELECT task_id, family, condition, {_r6(*METRICS)} FROM m",
     "task_delta_wide": f"WITH {_M}, w AS (SELECT task_id, family, {', '.join(f"max({x}) FILTER (condition = '{c}') AS {x}_{c}" for x in METRICS for c in 'ANR')} FROM m GROUP BY ALL), q AS (SELECT *, {', '.join(f'{x}_A - {x}_R AS delta_{x}' for x in METRICS)} FROM w) SELECT task_id, family, {_r6(*(f'{x}_{c}' for x in METRICS for c in 'ANR'), *(f'delta_{x}' for x in METRICS))} FROM q",
     "contrast_long": f"WITH {_DL} SELECT contrast, left_condition, right_condition, task_id, family, {_r6(*(f'delta_{x}' for x in METRICS))} FROM dl",
-    "contrast_partners": f"WITH {_T}, m AS (SELECT DISTINCT task_id, family, condition FROM t WHERE quantity < 3), def(contrast, l, r, alternative) AS (VALUES {_VALUES}), q AS (SELECT contrast, task_id, family, count(*) AS sides FROM def JOIN m ON condition IN (l, r) GROUP BY ALL) SELECT contrast, count(*) FILTER (sides = 2) AS paired_units, count(*) FILTER (sides = 1) AS unpaired_units FROM q GROUP BY ALL",
+    "contrast_partners": f"WITH m AS (SELECT DISTINCT l_orderkey, l_returnflag AS condition FROM lineitem), def(contrast, l, r, alternative) AS (VALUES {_VALUES}), q AS (SELECT contrast, l_orderkey, count(*) AS sides FROM def JOIN m ON condition IN (l, r) GROUP BY ALL) SELECT contrast, count(*) FILTER (sides = 2) AS paired_units, count(*) FILTER (sides = 1) AS unpaired_units FROM q GROUP BY ALL",
     "family_delta_means": f"WITH {_DL}, q AS (SELECT contrast, family, {', '.join(f'avg(delta_{x}) AS delta_{x}' for x in METRICS)} FROM dl GROUP BY ALL) SELECT contrast, family, {_r6(*(f'delta_{x}' for x in METRICS))} FROM q",
     "family_spread": f"WITH {_DL}, f AS (SELECT contrast, family, avg(delta_price) AS x FROM dl GROUP BY ALL), q AS (SELECT contrast, min(x) AS min_family_delta, max(x) AS max_family_delta, avg(x) AS mean_family_delta, count(*) FILTER (x > 0) AS positive_families, count(*) AS total_families FROM f GROUP BY ALL) SELECT contrast, {_r6('min_family_delta', 'max_family_delta', 'mean_family_delta')}, positive_families, total_families FROM q",
     "condition_means": "SELECT event_type, round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY ALL",
     "relative_reduction": f"WITH {_M}, w AS (SELECT task_id, {', '.join(f"max({x}) FILTER (condition = '{c}') AS {x}_{c}" for x in METRICS for c in 'AR')} FROM m GROUP BY task_id, family) SELECT {', '.join(f'round(1 - avg({x}_R) / nullif(avg({x}_A), 0), 6) + 0.0 AS reduction_{x}' for x in METRICS)} FROM w",
-    "completeness_grid": "WITH i AS (SELECT * FROM lineitem WHERE l_quantity < 2), g AS (SELECT DISTINCT i.l_suppkey, f.l_returnflag FROM i, (VALUES ('A'), ('N'), ('R')) f(l_returnflag)), c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM i GROUP BY ALL) SELECT l_suppkey, l_returnflag, coalesce(n, 0) AS n, coalesce(n, 0) = 3 AS complete FROM g LEFT JOIN c USING (l_suppkey, l_returnflag)",
+    "completeness_grid": "WITH g AS (SELECT p_partkey AS l_partkey, f.l_returnflag FROM part, (VALUES ('A'), ('N'), ('R')) f(l_returnflag)), c AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_partkey, l_returnflag, coalesce(n, 0) AS n, coalesce(n, 0) = 3 AS complete FROM g LEFT JOIN c USING (l_partkey, l_returnflag)",
     "distinct_counts": f"WITH {_T} SELECT condition, count(DISTINCT task_id) AS tasks, count(DISTINCT family) AS families, count(*) AS n, bool_and(quantity > 0) AS all_positive, bool_or(discount = 0) AS any_undiscounted FROM t GROUP BY ALL",
     "sum_over_models": "WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderstatus, o_orderpriority, sum(n)::BIGINT AS total, count(*) AS cells FROM c GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "nested_explode_specs": "WITH s AS (SELECT 'p' || p_partkey AS task_id, p_brand AS family, p_name AS task_text, unnest([{'r': 'nl', 'v': [p_name, p_brand, p_type]}, {'r': 'python', 'v': [p_type, p_brand, p_name]}]) AS s FROM part), e AS (SELECT task_id, family, task_text, s.r AS representation, unnest(s.v) AS reference, generate_subscripts(s.v, 1)::INT AS variant FROM s) SELECT task_id || '__' || representation || '__v' || variant AS trajectory_id, * FROM e",
@@ -143,6 +143,7 @@ SQL: dict[str, str] = {
     "valid_vocab_entropy": f"WITH {_vectors(48)} SELECT vec_id, round(entropy, 6) + 0.0 AS entropy_valid_vocab, round(entropy_top, 6) + 0.0 AS entropy_top20 FROM v",
     "next_token_shift": f"WITH sh AS (SELECT vec_id, label, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS embedding FROM embeddings), {_vectors(source='(SELECT * FROM sh WHERE embedding IS NOT NULL)')} SELECT vec_id, {_r6('reference_surprisal')} FROM v",
     "topk_ids": f"WITH {_vectors()} SELECT vec_id, r AS rank, i::BIGINT AS token_id, round(exp(lp), 6) + 0.0 AS probability FROM lp WHERE r <= 5",
+    "topk_json_pack": f"WITH {_vectors()} SELECT vec_id, r AS rank, i::BIGINT AS token_id, round(exp(lp), 6) + 0.0 AS probability, round(lp, 6) + 0.0 AS logprob FROM lp WHERE r <= 3",
     "bounds_checks": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (len(embedding) < 64) AS narrow, count(*) FILTER (label >= 9) AS out FROM embeddings) SELECT unnest(['vectors', 'too_narrow', 'reference_out_of_range']) AS \"check\", unnest(['500', '0', '0']) AS expected, unnest([n::VARCHAR, narrow::VARCHAR, out::VARCHAR]) AS actual, unnest([n = 500, narrow = 0, out = 0]) AS passed FROM c",
     "measure_wide": f"WITH {_vectors()} SELECT vec_id, {_r6('entropy', 'entropy_top', 'p1', 'reference_surprisal')}, reference_rank FROM v",
     # trajectories
@@ -179,16 +180,15 @@ SQL: dict[str, str] = {
     "resume_remaining": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
     "resume_repair": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 6) + 0.0 AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL",
     "completed_keys": "SELECT DISTINCT l_orderkey FROM lineitem",
-    "frozen_order": "SELECT s_suppkey, s_name, (s_suppkey * 7919) % 104729 AS ord FROM supplier ORDER BY ord LIMIT 50",
-    "manifest_reconcile": "WITH a AS (SELECT 'doc/' || doc_id AS path, doc_id % 97 AS n, md5(doc_id::VARCHAR) AS h FROM documents WHERE doc_id % 10 <> 3), e AS (SELECT 'doc/' || doc_id AS path, CASE WHEN quality = 0 THEN -1 ELSE doc_id % 97 END AS n, CASE WHEN toxic = 1 THEN 'x' ELSE md5(doc_id::VARCHAR) END AS h FROM labels) SELECT coalesce(a.path, e.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unlisted' WHEN a.n <> e.n THEN 'size_mismatch' WHEN a.h <> e.h THEN 'hash_mismatch' ELSE 'ok' END AS status FROM a FULL JOIN e ON a.path = e.path",
-    "set_gates": "WITH c AS (SELECT c_custkey AS id FROM customer), b AS (SELECT DISTINCT o_custkey AS id FROM orders) SELECT id, 'left' AS side FROM (SELECT id FROM c EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'right' FROM (SELECT id FROM b EXCEPT SELECT id FROM c) UNION ALL SELECT id, 'both' FROM (SELECT id FROM c INTERSECT SELECT id FROM b) WHERE id % 10 = 0",
+    "frozen_order": "SELECT s_suppkey, s_name, (s_suppkey * 7919) % 104729 AS ord FROM supplier ORDER BY ord",
+    "manifest_reconcile": "WITH a AS (SELECT 'doc/' || doc_id AS path, strlen(text) AS n, sha256(text) AS h FROM documents WHERE lang IS DISTINCT FROM 'en'), e AS (SELECT 'doc/' || doc_id AS path, CASE WHEN quality = 0 THEN -1 ELSE strlen(text) END AS n, CASE WHEN toxic = 1 THEN 'x' ELSE sha256(text) END AS h FROM documents JOIN labels USING (doc_id)) SELECT coalesce(a.path, e.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unlisted' WHEN a.n <> e.n THEN 'size_mismatch' WHEN a.h <> e.h THEN 'hash_mismatch' ELSE 'ok' END AS status FROM a FULL JOIN e ON a.path = e.path",
+    "set_gates": "WITH c AS (SELECT c_custkey AS id FROM customer), b AS (SELECT DISTINCT o_custkey AS id FROM orders) SELECT id, 'left' AS side FROM (SELECT id FROM c EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'right' FROM (SELECT id FROM b EXCEPT SELECT id FROM c) UNION ALL SELECT id, 'both' FROM (SELECT id FROM c INTERSECT SELECT id FROM b)",
     "expectation_report": "WITH c AS (SELECT count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_quantity < 0) AS g, bool_and(l_quantity <= 10) AS s FROM lineitem) SELECT unnest(['flags', 'no_negative', 'all_small']) AS \"check\", unnest(['3', '0', 'true']) AS expected, unnest([f::VARCHAR, g::VARCHAR, s::VARCHAR]) AS actual, unnest([f = 3, g = 0, s]) AS passed FROM c",
     "number_audit": f"WITH {_M}, a AS (SELECT condition, avg(quantity) AS actual FROM m GROUP BY ALL), e AS (SELECT condition, round(avg(quantity), 1) AS expected FROM t GROUP BY ALL) SELECT condition, {_r6('expected', 'actual')}, abs(expected - actual) <= 0.06 AS passed FROM e JOIN a USING (condition)",
     "content_sha256": "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size_bytes FROM documents",
     "registry_lookup": "SELECT n_name, r_name AS model, round(r_regionkey / 10, 6) + 0.0 AS margin FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "sort_by_enum": f"WITH {_M} SELECT condition, task_id, list_position(['R', 'A', 'N'], condition){_INT} AS place FROM m ORDER BY place, task_id LIMIT 20",
-    "seeded_order": "SELECT o_orderkey, md5('20260916:' || o_orderkey) AS draw FROM orders ORDER BY draw, o_orderkey LIMIT 100",
-    "nested_span_sort": f"WITH {_PIECES} SELECT item_id, string_agg(start_char::BIGINT || ':' || end_char::BIGINT, ',' ORDER BY start_char DESC, end_char DESC) AS replacements FROM pc WHERE length(piece) > 6 GROUP BY ALL",
+    "sort_by_enum": f"WITH {_M} SELECT condition, task_id, list_position(['R', 'A', 'N'], condition){_INT} AS place FROM m ORDER BY place, task_id",
+    "nested_span_sort": f"WITH {_PIECES} SELECT item_id, string_agg(start_char::BIGINT || ':' || end_char::BIGINT, ',' ORDER BY start_char DESC, end_char DESC) AS replacements FROM pc GROUP BY ALL",
     "rolled_levels": f"WITH {_M} SELECT condition, family, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_price FROM m GROUP BY ROLLUP (condition, family)",
     # studies
     "cross_model_table": f"""WITH o AS (SELECT c_mktsegment AS model, c_nationkey AS task_id, avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') - avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),

@@ -44,6 +44,10 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + 0.0
 
 
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
+
+
 def _trajectories(spark: SparkSession, d: str) -> DataFrame:
     """task_id, family, condition and metrics of each line item."""
     supplier = load(spark, d, "supplier").select(F.col("s_suppkey").alias("task_id"), F.col("s_nationkey").cast("long").alias("family"))
@@ -113,9 +117,9 @@ def contrast_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def contrast_partners(spark: SparkSession, d: str) -> DataFrame:
-    """Units that lack a side of a contrast, among line items of small orders."""
-    few = _trajectories(spark, d).where("quantity < 3")
-    return C.contrasts(C.condition_means(few, ["task_id", "family", "condition"], METRICS), C.definitions(spark, PAIRS), ["task_id", "family"], "condition", METRICS).groupBy("contrast").agg(F.count(F.when(F.col("paired"), 1)).alias("paired_units"), F.count(F.when(~F.col("paired"), 1)).alias("unpaired_units"))
+    """Units that lack a side of a contrast; orders are the units, and few have line items of every flag."""
+    items = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_returnflag").alias("condition"), F.col("l_quantity").alias("quantity"))
+    return C.contrasts(C.condition_means(items, ["task_id", "condition"], ["quantity"]), C.definitions(spark, PAIRS), ["task_id"], "condition", ["quantity"]).groupBy("contrast").agg(F.count(F.when(F.col("paired"), 1)).alias("paired_units"), F.count(F.when(~F.col("paired"), 1)).alias("unpaired_units"))
 
 
 @query
@@ -142,7 +146,9 @@ def relative_reduction(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def completeness_grid(spark: SparkSession, d: str) -> DataFrame:
-    return C.completeness(load(spark, d, "lineitem").where("l_quantity < 2"), "l_suppkey", "l_returnflag", LEVELS, 3)
+    """Line items of each part and flag; parts that nobody ordered are expected too."""
+    parts = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"))
+    return C.completeness(load(spark, d, "lineitem"), "l_partkey", "l_returnflag", LEVELS, 3, parts)
 
 
 @query
@@ -243,12 +249,12 @@ def bootstrap_hash(spark: SparkSession, d: str) -> DataFrame:
 @query
 def resample_numpy(spark: SparkSession, d: str) -> DataFrame:
     rows = _deltas(spark, d).withColumn("two_sided", F.col("alternative") == "two_sided")
-    return I.resample(rows, ["contrast"], ["task_id", "family"], "delta_price", "two_sided")
+    return _rounded(I.resample(rows, ["contrast"], ["task_id", "family"], "delta_price", "two_sided"))
 
 
 @query
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return I.resample(C.family_means(_deltas(spark, d), ["contrast", "family"], ["delta_price"]), ["contrast"], ["family"], "delta_price", None)
+    return _rounded(I.resample(C.family_means(_deltas(spark, d), ["contrast", "family"], ["delta_price"]), ["contrast"], ["family"], "delta_price", None))
 
 
 # --- distributions ---------------------------------------------------------------------------
@@ -311,7 +317,10 @@ def topk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def topk_json_pack(spark: SparkSession, d: str) -> DataFrame:
-    return _logits(spark, d).select("vec_id", D.pack_top(D.top_k(D.log_softmax(F.col("logits")), 3)).alias("top_json"))
+    """The top entries as JSON text, read back."""
+    packed = _logits(spark, d).select("vec_id", D.pack_top(D.top_k(D.log_softmax(F.col("logits")), 3)).alias("top_json"))
+    top = packed.select("vec_id", F.posexplode(F.from_json("top_json", "array<struct<token_id:long,probability:double,logprob:double>>")).alias("r", "t"))
+    return top.select("vec_id", (F.col("r") + 1).cast("long").alias("rank"), "t.token_id", r6("t.probability").alias("probability"), r6("t.logprob").alias("logprob"))
 
 
 @query
@@ -509,15 +518,17 @@ def completed_keys(spark: SparkSession, d: str) -> DataFrame:
 def frozen_order(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "supplier").select("s_suppkey", "s_name")
     order = rows.select("s_suppkey", F.pmod(F.col("s_suppkey") * 7919, F.lit(104729)).alias("ord"))
-    return R.in_frozen_order(rows, order, "s_suppkey").limit(50)
+    return R.in_frozen_order(rows, order, "s_suppkey")
 
 
 @query
 def manifest_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as files, labels as the manifest; sizes and hashes are made to differ by arithmetic."""
-    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
-    actual = load(spark, d, "documents").where("doc_id % 10 <> 3").select(path, F.pmod(F.col("doc_id"), F.lit(97)).alias("size_bytes"), F.md5(F.col("doc_id").cast("string")).alias("sha256"))
-    expected = load(spark, d, "labels").select(path, F.when(F.col("quality") == 0, F.lit(-1).cast("long")).otherwise(F.pmod(F.col("doc_id"), F.lit(97))).alias("size_bytes"), F.when(F.col("toxic") == 1, F.lit("x")).otherwise(F.md5(F.col("doc_id").cast("string"))).alias("sha256"))
+    """Documents that are not in English as files, labelled documents as the manifest; low quality has a wrong size, toxic ones a wrong hash."""
+    path, digest = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.col("text").cast("binary"), 256)
+    docs = load(spark, d, "documents")
+    actual = docs.where(~F.col("lang").eqNullSafe(F.lit("en"))).select(path, F.octet_length("text").cast("long").alias("size_bytes"), digest.alias("sha256"))
+    size = F.when(F.col("quality") == 0, F.lit(-1).cast("long")).otherwise(F.octet_length("text").cast("long"))
+    expected = docs.join(load(spark, d, "labels"), "doc_id").select(path, size.alias("size_bytes"), F.when(F.col("toxic") == 1, F.lit("x")).otherwise(digest).alias("sha256"))
     return Q.reconcile(expected, actual).select("path", "status")
 
 
@@ -525,7 +536,7 @@ def manifest_reconcile(spark: SparkSession, d: str) -> DataFrame:
 def set_gates(spark: SparkSession, d: str) -> DataFrame:
     customers, buyers = load(spark, d, "customer").select(F.col("c_custkey").alias("id")), load(spark, d, "orders").select(F.col("o_custkey").alias("id"))
     sides = Q.same_keys(customers, buyers, ["id"]).select("id", "side")
-    both = customers.intersect(buyers).where("id % 10 = 0").withColumn("side", F.lit("both"))
+    both = customers.intersect(buyers).withColumn("side", F.lit("both"))
     return sides.unionByName(both)
 
 
@@ -555,24 +566,23 @@ def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sort_by_enum(spark: SparkSession, d: str) -> DataFrame:
-    """Order by an explicit enumeration, then by key; the first 20 as a report."""
+    """Order by an explicit enumeration, then by key."""
     order = F.array(*(F.lit(x) for x in ("R", "A", "N")))
     rows = _means(spark, d).select("condition", "task_id", F.array_position(order, F.col("condition")).cast("long").alias("place"))
-    return rows.orderBy("place", "task_id").limit(20)
+    return rows.orderBy("place", "task_id")
 
 
 @query
 def seeded_order(spark: SparkSession, d: str) -> DataFrame:
-    """A fixed pseudo-random order of ids, and the first 100 of it."""
-    rows = load(spark, d, "orders").select("o_orderkey", F.md5(F.concat(F.lit("20260916:"), F.col("o_orderkey").cast("string"))).alias("draw"))
-    return rows.orderBy("draw", "o_orderkey").limit(100)
+    """The frozen shuffle of a run's ids."""
+    return R.frozen_permutation(load(spark, d, "supplier"), "s_suppkey", I.SEED)
 
 
 @query
 def nested_span_sort(spark: SparkSession, d: str) -> DataFrame:
     """Spans of a text as an array, last replacement first."""
     ordered = F.sort_array(F.collect_list(F.struct("start_char", "end_char")), asc=False)
-    out = _pieces(spark, d).where("length(piece) > 6").groupBy("item_id").agg(ordered.alias("_s"))
+    out = _pieces(spark, d).groupBy("item_id").agg(ordered.alias("_s"))
     return out.select("item_id", F.array_join(F.transform("_s", lambda s: F.concat_ws(":", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",").alias("replacements"))
 
 

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from parallax import schemas
 from parallax.operators import contrast, gates, spans, summarise
 from parallax.operators.programs import frames, rename
+from parallax.sources import manifest, readers
 
 CELLS = len(schemas.CONDITIONS)
 
 
+def corpus_report(spark: SparkSession, path: str, sha256: str, tasks: int, families: int, per_family: int = 2, variants: int = 3) -> DataFrame:
+    """The gates of a frozen task corpus: its hash, its counts, and that every program parses. `path` is one local JSON document."""
+    rows = readers.tasks(spark, path)
+    found = manifest.sha256_file(Path(path))
+    report = gates.check_rows(spark, [("corpus_sha256", sha256, found, sha256 == found)]).unionByName(gates.corpus_gates(rows, tasks, families, per_family, variants))
+    sources = rows.select("id", F.explode("python").alias("source"))
+    return report.unionByName(_count("programs_not_parseable", frames.rejected(sources, "id", "source")))
+
+
 def _count(check: str, rows: DataFrame) -> DataFrame:
     """A check that a table of failures is empty."""
     return gates.expectations(rows, {check: (F.count(F.lit(1)), 0)})
@@ -35,9 +47,13 @@ def without_interface(rendered: DataFrame, programs: DataFrame) -> DataFrame:
 
 def not_equivalent(rendered: DataFrame) -> DataFrame:
     """Opaque programs that differ from their originals by more than names."""
-    same = F.udf(lambda a, b, m: rename.same_up_to_names(a, b, {x["original"]: x["opaque"] for x in m}), BooleanType())
-    rows = rendered.where(F.col("condition") == "python_opaque")
-    return rows.where(~same("source_python", "reference_text", "opacity.mapping")).select("trajectory_id")
+
+    def work(row: dict) -> Iterator[dict]:
+        if not rename.same_up_to_names(row["source_python"], row["reference_text"], {x["original"]: x["opaque"] for x in row["mapping"]}):
+            yield {"trajectory_id": row["trajectory_id"]}
+
+    rows = rendered.where(F.col("condition") == "python_opaque").select("trajectory_id", "source_python", "reference_text", F.col("opacity.mapping").alias("mapping"))
+    return frames.each_row(rows, "trajectory_id string", work)
 
 
 def step_coverage(rendered: DataFrame, pattern: str = spans.PIECES) -> DataFrame:

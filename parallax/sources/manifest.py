@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -57,18 +58,41 @@ def of_store(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def store_sha256(spark: SparkSession, path: str) -> str:
+    """One hash of all files of a stored table: names, sizes and contents, in the order of names."""
+    files = of_store(spark, path).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size_bytes", "sha256")
+    return gates.json_sha256([list(r) for r in files.orderBy("name", "sha256").collect()])  # a row for each file
+
+
+def evidence_failures(path: Path, artifacts: int) -> list[tuple[str, str]]:
+    """What is wrong with the manifest of an external archive: (path, failure)."""
+    if not path.is_file():
+        return [(path.name, "missing evidence manifest")]
+    found = json.loads(path.read_text(encoding="utf-8"))
+    wrong = [f"artifact count is {found.get('artifact_count')}, expected {artifacts}"] if found.get("artifact_count") != artifacts else []
+    if len(found.get("artifacts", [])) != found.get("artifact_count", 0):
+        wrong.append("artifact count differs from the artifacts listed")
+    if found.get("missing_count") != 0:
+        wrong.append("source artifacts were missing")
+    return [(path.name, w) for w in wrong]
+
+
 def document(rows: DataFrame, **head: Any) -> dict:
     """The manifest as one document; files in path order."""
     files = [r.asDict() for r in rows.orderBy("path").collect()]
     return head | {"file_count": len(files), "total_size_bytes": sum(f["size_bytes"] for f in files), "files": files}
 
 
-def validate(spark: SparkSession, root: str, expected: DataFrame, but: Sequence[str] = (), forbidden: Sequence[str] = (), external: Sequence[str] = ("tokens.csv",), fixed: dict[str, str] | None = None) -> DataFrame:
-    """Failures of a release (path, failure): the manifest, forbidden names, files that belong elsewhere, fixed hashes, user paths."""
+def validate(spark: SparkSession, root: str, expected: DataFrame, but: Sequence[str] = (), forbidden: Sequence[str] = (), external: Sequence[str] = ("tokens.csv",), fixed: dict[str, str] | None = None, evidence: tuple[str, int] | None = None) -> DataFrame:
+    """Failures of a release (path, failure): the manifest, forbidden names, files that belong elsewhere, fixed hashes, user paths.
+
+    evidence: the manifest of the external archive below `root`, and the artifacts that it has to list.
+    """
     folder = Path(root)
     actual = of_folder(spark, root, but)
     failures = gates.reconcile(expected, actual).where("status <> 'ok'").select("path", F.col("status").alias("failure"))
     found = [(n, "forbidden path") for n in forbidden if (folder / n).exists()]
+    found += evidence_failures(folder / evidence[0], evidence[1]) if evidence else []
     pattern = re.compile(USER_PATH)
     hashes = {r.path: r.sha256 for r in actual.collect()} if fixed else {}
     found += [(p, "missing frozen file" if p not in hashes else "frozen file differs") for p, h in (fixed or {}).items() if hashes.get(p) != h]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,23 +50,37 @@ def entry_of(registry_rows: DataFrame, slug: str) -> dict:
     return found[0].asDict()
 
 
-def scored(sequences: DataFrame, scorer: Callable[[list[list[int]]], list[list[list[float]]]], ids: str = "token_ids", batch: int = 8) -> DataFrame:
-    """Score vectors of each position by a plug-in: a function from padded batches of ids to vectors.
+def padded(sequences: Sequence[Sequence[int]], pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and attention mask of a batch, padded on the right to its longest sequence."""
+    width = max(map(len, sequences), default=0)
+    ids, mask = np.full((len(sequences), width), pad, np.int64), np.zeros((len(sequences), width), np.int64)
+    for k, own in enumerate(sequences):
+        ids[k, : len(own)] = own
+        mask[k, : len(own)] = 1
+    return ids, mask
+
+
+def scored(sequences: DataFrame, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: str = "token_ids", batch: int = 8, pad: int = 0, vocab: int | None = None) -> DataFrame:
+    """Score vectors of each position by a plug-in: a function from ids and mask of a padded batch to vectors (batch, position, vocabulary).
 
     Adds (position, token_id, logits): the vector at position p - 1 scores the token at p. Rows
-    are sorted by length inside an Arrow batch, so that a scorer pads little.
+    are sorted by length inside an Arrow batch, so that a scorer pads little. An id that is not
+    below `vocab` is an error.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sequences.schema) + ", position int, token_id int, logits array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = sorted(frame.to_dict("records"), key=lambda r: len(r[ids]))
+            rows = sorted((r for r in frame.to_dict("records") if r[ids] is not None), key=lambda r: len(r[ids]))
             for start in range(0, len(rows), batch):
                 part = rows[start : start + batch]
-                for row, vectors in zip(part, scorer([list(map(int, r[ids])) for r in part]), strict=True):
-                    made = [row | {"position": p, "token_id": int(row[ids][p]), "logits": vectors[p - 1]} for p in range(1, len(row[ids]))]
-                    if made:
-                        yield pd.DataFrame(made)
+                tokens, mask = padded([r[ids] for r in part], pad)
+                if vocab is not None and (tokens * mask >= vocab).any():
+                    raise ValueError("a token id exceeds the vocabulary")
+                vectors = scorer(tokens, mask)
+                made = [row | {"position": p, "token_id": int(tokens[k, p]), "logits": vectors[k][p - 1]} for k, row in enumerate(part) for p in range(1, len(row[ids]))]
+                if made:
+                    yield pd.DataFrame(made)
 
     return sequences.mapInPandas(run, schema)
 

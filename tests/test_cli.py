@@ -5,6 +5,7 @@ import pytest
 from parallax import schemas
 from parallax.__main__ import main
 from parallax.plans.queries import CORPUS
+from parallax.sources import manifest
 from parallax.sources.writers import write_json
 
 
@@ -15,6 +16,10 @@ def test_programs(spark, tmp_path):
     assert main(["render", "--ir", ir, "--output", rendered], spark) == 0
     assert main(["validate", "--rendered", rendered, "--output", report], spark) == 0
     assert all(c["passed"] for c in json.load(open(report))["checks"])
+    head = json.load(open(f"{ir}.json"))
+    assert head["program_count"] == len(CORPUS) and head["construct_counts"]["FunctionDef"] == len(CORPUS)
+    assert main(["build-ir", "--tasks", tasks, "--output", f"{ir}2", "--variants", "1"], spark) == 0
+    assert json.load(open(f"{ir}2.json"))["content_sha256"] == head["content_sha256"]
     assert main(["build-ir", "--tasks", tasks, "--output", ir, "--expected-sha256", "0"], spark) == 1
 
 
@@ -36,8 +41,15 @@ def test_measure_goes_on(spark, tmp_path):
     rows = [(f"t{t}", p, 1, [float(t), 1.0, 2.0]) for t in range(3) for p in (1, 2, 3)]
     scores, out = str(tmp_path / "scores"), str(tmp_path / "out")
     spark.createDataFrame(rows, "trajectory_id string, reference_position int, reference_token_id int, logits array<double>").write.parquet(scores)
-    run = ["measure", "--scores", scores, "--results-dir", out]
+    stimuli, report = str(tmp_path / "stimuli"), str(tmp_path / "report.json")
+    spark.createDataFrame([("t0", "text")], "trajectory_id string, reference_text string").write.parquet(stimuli)
+    write_json(report, {"passed": True, "stimuli_sha256": manifest.store_sha256(spark, stimuli)})
+    write_json(f"{report}.old", {"passed": True, "stimuli_sha256": "0"})
+    write_json(f"{report}.bad", {"passed": False, "stimuli_sha256": manifest.store_sha256(spark, stimuli)})
+    run = ["measure", "--scores", scores, "--results-dir", out, "--stimuli", stimuli, "--validation", report]
     assert main(run, spark) == 1
+    for other in (".old", ".bad"):
+        assert main([*run, "--validation", report + other, "--confirm-real-run"], spark) == 1
     assert main([*run, "--confirm-real-run", "--limit", "2"], spark) == 0
     assert spark.read.parquet(f"{out}/trajectories.parquet").count() == 2
     assert main([*run, "--confirm-real-run"], spark) == 0
@@ -57,3 +69,26 @@ def test_release(spark, tmp_path):
     assert main(["release-check", "--root", str(root), "--manifest", name], spark) == 1
     with pytest.raises(SystemExit):
         main(["nothing"], spark)
+
+
+def test_audit_and_release(spark, tmp_path):
+    root, results = tmp_path / "release", tmp_path / "results"
+    root.mkdir()
+    write_json(root / "summary.json", {"contrasts": {"C1": {"mean": 0.5, "ci": [0.25, 0.75]}}})
+    (root / "text.md").write_text("The mean is 0.5000.")
+    write_json(root / "EVIDENCE.json", {"artifact_count": 1, "missing_count": 0, "artifacts": [{"path": "x"}]})
+    good = {"numbers": {"summary.json": {"contrasts.C1.mean": 0.5, "contrasts.C1.ci.1": 0.75}}, "texts": {"text.md": ["0.5000"]}, "hashes": {"text.md": manifest.sha256_file(root / "text.md")}}
+    write_json(tmp_path / "expected.json", good)
+    write_json(tmp_path / "wrong.json", {"numbers": {"summary.json": {"contrasts.C1.mean": 0.6, "contrasts.C9.mean": 1}}, "texts": {"text.md": ["0.6000"]}})
+    run = ["audit", "--root", str(root), "--expected"]
+    assert main([*run, str(tmp_path / "expected.json")], spark) == 0 and main([*run, str(tmp_path / "wrong.json")], spark) == 1
+    spark.createDataFrame([("t", "t", "f", schemas.ANCHOR, 1, True, 1.0, 1.0, None, None)], schemas.TRAJECTORY).write.parquet(str(results / "m/trajectories.parquet"))
+    release = ["release", "--root", str(root), "--results-root", str(results), "--manifest", str(root / "MANIFEST.json"), "--evidence", "EVIDENCE.json"]
+    assert main([*release, "--expected", str(tmp_path / "expected.json"), "--artifacts", "1"], spark) == 0
+    assert main([*release, "--expected", str(tmp_path / "expected.json"), "--artifacts", "45"], spark) == 1
+    assert main([*release, "--expected", str(tmp_path / "wrong.json"), "--artifacts", "1"], spark) == 1
+
+
+def test_smoke(spark, tmp_path):
+    assert main(["smoke", "--output", str(tmp_path / "smoke")], spark) == 1
+    assert main(["smoke", "--output", str(tmp_path / "smoke"), "--confirm-synthetic-smoke"], spark) == 0

@@ -149,3 +149,29 @@ def test_rules_case_by_case(spark):
     frame = spark.createDataFrame([tuple((base | {"model": str(k)} | c[0]).values()) for k, c in enumerate(cases)], ", ".join(f"{n} {kinds[type(v)]}" for n, v in base.items()))
     for r in decide.decide(frame).collect():
         assert (r.result_status, r.interpretation) == cases[int(r.model)][1:], cases[int(r.model)]
+
+
+def test_draws_do_not_depend_on_how_many_are_held(monkeypatch):
+    x = np.random.default_rng(3).normal(0.1, 1, 37)
+    want = infer.flip_test(x, True, 3001), infer.percentile_ci(x, 2001)
+    for cells in (1, 100, 37 * 64):
+        monkeypatch.setattr(infer, "CELLS", cells)
+        assert (infer.flip_test(x, True, 3001), infer.percentile_ci(x, 2001)) == want
+
+
+def test_memory_of_resampling_many_units():
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(0, 1, infer.MAX_UNITS)
+    tracemalloc.start()
+    infer.flip_test(x, False, 40)
+    infer.percentile_ci(x, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_numbered_has_no_gaps(spark):
+    rows = spark.range(30000).selectExpr("id AS unit", "IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k")
+    out = infer.numbered(rows, ["k"], ["unit"]).groupBy("k").agg(F.count("*").alias("n"), F.min("unit_no").alias("low"), F.max("unit_no").alias("high"), F.count_distinct("unit_no").alias("many"), F.max("n_units").alias("units"))
+    assert all((r.low, r.high, r.many, r.units) == (0, r.n - 1, r.n, r.n) for r in out.collect())

@@ -158,3 +158,22 @@ def test_frozen_permutation(spark):
     order = resume.frozen_permutation(rows, "trajectory_id", 20260916)
     assert [r.trajectory_id for r in order.orderBy("ord").collect()] == want
     assert [r.trajectory_id for r in resume.in_frozen_order(rows, order, "trajectory_id").collect()] == want
+
+
+def test_offsets_of_rows_that_repeat_a_key(spark):
+    rows = [("k", "ab c"), ("k", "xyz w"), ("l", None), ("m", ""), ("n", " ".join("word" for _ in range(500)))]
+    found = spans.tokenize(spark.createDataFrame(rows, "k string, t string"), ["k"], "t").collect()
+    assert sorted((r.piece, r.pos, r.start_char, r.end_char) for r in found if r.k == "k") == [(" ", 2, 2, 3), (" ", 2, 3, 4), ("ab", 1, 0, 2), ("c", 3, 3, 4), ("w", 3, 4, 5), ("xyz", 1, 0, 3)]
+    assert [(r.pos, r.start_char) for r in sorted((r for r in found if r.k == "n"), key=lambda r: r.pos)] == [(i + 1, i // 2 * 5 + (4 if i % 2 else 0)) for i in range(999)]
+    assert not [r for r in found if r.k in "lm"]
+
+
+def test_tokenize_does_not_shuffle(spark):
+    plan = spans.tokenize(spark.createDataFrame([("k", "a b")], "k string, t string"), ["k"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_completeness_knows_units_without_rows(spark):
+    rows, units = spark.createDataFrame([("a", "x")], "u string, c string"), spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "u string")
+    found = sorted(tuple(r) for r in contrast.completeness(rows, "u", "c", ["x", "y"], 1, units).collect())
+    assert found == [("a", "x", 1, True), ("a", "y", 0, False), ("b", "x", 0, False), ("b", "y", 0, False)]

@@ -5,9 +5,13 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from parallax import schemas
 from parallax.operators.programs import differential, frames, ir, rename, render
-from parallax.plans.queries import CORPUS
+from parallax.plans import stimuli
+from parallax.plans.queries import CORPUS, _programs
+from parallax.sources import manifest, writers
 
 EVERYTHING = """def work(items, limit):
     total: int = 0
@@ -174,3 +178,26 @@ def test_validation_report(spark, programs):
     assert {"changed_anchors", "lines_without_interface"} <= failed
     assert stimuli.audit_rows(rendered, ["scan_max"]).count() == 6
     rendered.unpersist()
+
+
+def test_a_job_has_a_time_limit_of_its_own(spark):
+    rendered = frames.render_programs(_programs(spark))
+    late = frames.differential_runs(rendered, allow_execution=True, budget=0.0).collect()
+    assert late and all((r.passed, r.error) == (False, "timeout") for r in late)
+
+
+def test_content_hash_does_not_depend_on_order(spark):
+    programs = _programs(spark)
+    assert frames.content_sha256(programs) == frames.content_sha256(programs.orderBy(F.desc("program_id")).repartition(3)) != frames.content_sha256(programs.limit(2))
+
+
+def test_corpus_report(spark, tmp_path):
+    path = tmp_path / "tasks.json"
+    tasks = [{"id": f"t{k}", "family": f"f{k // 2}", "task": "x", "nl": ["a", "b", "c"], "python": [f"def f(x):\n    return {v}\n" for v in (1, 2, k)]} for k in range(4)]
+    writers.write_json(path, tasks)
+    checks = {r.check: r.passed for r in stimuli.corpus_report(spark, str(path), manifest.sha256_file(path), 4, 2).collect()}
+    assert not checks.pop("tasks_without_distinct_python") and all(checks.values())
+    tasks[0]["python"][0] = "def f(x) return"
+    writers.write_json(path, tasks)
+    checks = {r.check: r.passed for r in stimuli.corpus_report(spark, str(path), "0", 4, 2).collect()}
+    assert not checks["corpus_sha256"] and not checks["programs_not_parseable"]

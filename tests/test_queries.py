@@ -6,8 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from parallax.plans import oracle, queries
+from parallax.plans import oracle, program_queries, queries, table_queries
 
+SQL = oracle.SQL | program_queries.SQL | table_queries.SQL
 SF = "/root/testdata/sf0.001"
 
 
@@ -25,10 +26,10 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, tables, name):
     frame = queries.QUERIES[name](spark, SF)
-    found = tables.sql(oracle.SQL[name])
+    found = tables.sql(SQL[name])
     columns = sorted(frame.columns)
     assert columns == sorted(found.columns)
     place = [found.columns.index(c) for c in columns]

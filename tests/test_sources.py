@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +70,14 @@ def test_manifest(spark, tmp_path):
 
 def test_scorer_plugin(spark):
     rows = spark.createDataFrame([("a", [1, 2, 3]), ("b", [4])], "t string, token_ids array<int>")
-    out = readers.scored(rows, lambda batch: [[[float(x), 0.0] for x in ids] for ids in batch]).orderBy("position").collect()
-    assert [(r.t, r.position, r.token_id, r.logits) for r in out] == [("a", 1, 2, [1.0, 0.0]), ("a", 2, 3, [2.0, 0.0])]
+    scorer = lambda ids, mask: np.stack([ids, mask.sum(axis=1, keepdims=True).repeat(ids.shape[1], axis=1)], axis=2).astype(float)
+    out = readers.scored(rows, scorer, pad=9).orderBy("position").collect()
+    assert [(r.t, r.position, r.token_id, r.logits) for r in out] == [("a", 1, 2, [1.0, 3.0]), ("a", 2, 3, [2.0, 3.0])]
+    ids, mask = readers.padded([[4], [1, 2, 3], []], pad=9)
+    assert ids.tolist() == [[4, 9, 9], [1, 2, 3], [9, 9, 9]] and mask.tolist() == [[1, 0, 0], [1, 1, 1], [0, 0, 0]]
+    with pytest.raises(Exception, match="exceeds the vocabulary"):
+        readers.scored(rows, scorer, vocab=4).where("t = 'b'").count()
+        readers.scored(rows, scorer, vocab=3).collect()
     assert readers.synthetic_records(spark, [("t", "f", "x")]).count() == len(schemas.CONDITIONS)
 
 
