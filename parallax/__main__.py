@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import platform
 import sys
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
@@ -22,13 +24,22 @@ from parallax.plans import publish
 from parallax.sources import manifest, readers, writers
 
 #: Keys of a run's configuration that must not change when the run goes on.
-FROZEN = ("scores", "top_k", "valid_vocab", "first_position")
+FROZEN = ("scores", "top_k", "valid_vocab", "first_position", "stimuli_sha256")
 
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("parallax").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def environment(spark: SparkSession) -> dict[str, Any]:
+    """What a run ran on."""
+    context = spark.sparkContext
+    return {
+        "spark": spark.version, "python": platform.python_version(), "java": context._jvm.System.getProperty("java.version"), "platform": platform.platform(), "master": context.master,
+        "parallelism": context.defaultParallelism, "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")), "executor_memory": context.getConf().get("spark.executor.memory", None),
+    }
+
+
 def measure(spark: SparkSession, a: argparse.Namespace) -> None:
     """Measure score vectors and summarise trajectories; goes on where a broken run stopped.
 
@@ -38,14 +49,15 @@ def measure(spark: SparkSession, a: argparse.Namespace) -> None:
     validated = json.loads(Path(a.validation).read_text())
     if not validated.get("passed"):
         raise gates.GateError("the validation report does not pass")
-    gates.require_confirmed(True, validated.get("stimuli_sha256"), manifest.store_sha256(spark, a.stimuli))
+    stimuli = manifest.store_sha256(spark, a.stimuli)
+    gates.require_confirmed(True, validated.get("stimuli_sha256"), stimuli)
     out = Path(a.results_dir)
-    config = {"scores": a.scores, "top_k": a.top_k, "valid_vocab": a.valid_vocab, "first_position": 1}
+    config = {"scores": a.scores, "top_k": a.top_k, "valid_vocab": a.valid_vocab, "first_position": 1, "stimuli_sha256": stimuli}
     if (out / "config.json").exists():
         if changed := gates.immutable(json.loads((out / "config.json").read_text()), config, FROZEN):
             raise gates.GateError(f"the stored run has other settings: {', '.join(changed)}")
     else:
-        writers.write_json(out / "config.json", config | {"started_at": datetime.now(UTC).isoformat()})
+        writers.write_json(out / "config.json", config | {"started_at": datetime.now(UTC).isoformat(), "environment": environment(spark)})
     work = spark.read.parquet(a.scores)
     target = f"{a.results_dir}/trajectories.parquet"
     there = spark.read.parquet(target) if Path(target).exists() else spark.createDataFrame([], "trajectory_id string")
@@ -55,10 +67,18 @@ def measure(spark: SparkSession, a: argparse.Namespace) -> None:
     work = work.join(ids, "trajectory_id", "left_semi")
     run = distribution.measure_wide if a.wide else distribution.measure
     tokens = run(work, k=a.top_k, vocab=a.valid_vocab).withColumnsRenamed({"entropy_top": "entropy_top20_normalized", "entropy": "entropy_valid_vocab"})
+    begun = time.monotonic()
     writers.append_new(tokens, f"{a.results_dir}/tokens.parquet", ["trajectory_id", "reference_position"])
     done = spark.read.parquet(f"{a.results_dir}/tokens.parquet").join(ids, "trajectory_id", "left_semi")
     keys = ["trajectory_id", *(c for c in ("task_id", "family", "condition", "variant") if c in done.columns)]
     writers.append_new(summarise.trajectories(summarise.drop_first(done), keys, ["reference_position"], extra=("top_mass", "reference_surprisal")), target, ["trajectory_id"])
+    print(progress(resume.completed(spark.read.parquet(target)).count(), resume.completed(spark.read.parquet(a.scores)).count(), done.count(), time.monotonic() - begun))
+
+
+def progress(finished: int, total: int, tokens: int, seconds: float) -> str:
+    """One line on how far a run is: trajectories, rate, and the time that the rest takes at this rate."""
+    left = (total - finished) * seconds / max(1, finished)
+    return f"{finished} of {total} trajectories, {tokens} tokens in {seconds:.0f} s ({tokens / max(seconds, 1e-9):.0f} a second), about {left:.0f} s left"
 
 
 def _trajectories(spark: SparkSession, folder: str) -> DataFrame:

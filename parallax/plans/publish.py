@@ -104,6 +104,15 @@ def family_table(replicated: DataFrame, decided: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def profile_rows(trajectories: DataFrame) -> DataFrame:
+    """Plot-ready rows: each model's line over the conditions, with the step from the condition before and how many trajectories a point has."""
+    order = F.array(*(F.lit(c) for c in schemas.CONDITIONS))
+    points = trajectories.groupBy("model_slug", "condition").agg(F.avg("mean_entropy_top20").alias("y"), F.count("mean_entropy_top20").alias("n"))
+    points = points.withColumn("x", F.array_position(order, F.col("condition")).cast("int"))
+    # a model has as many points as there are conditions
+    return points.withColumn("step", F.col("y") - F.lag("y").over(Window.partitionBy("model_slug").orderBy("x")))
+
+
 def forest_rows(decided: DataFrame) -> DataFrame:
     """Plot-ready rows: point, interval and place of each contrast."""
     place = F.row_number().over(Window.partitionBy("contrast").orderBy("model_slug"))

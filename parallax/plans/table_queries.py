@@ -77,14 +77,23 @@ def publication_interventions(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(publish.intervention_table(_models(spark, d)))
 
 
-@query
-def publication_conditions(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of the suppliers of each region as trajectories, flags as conditions."""
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Line items of the suppliers of each region as trajectories, line numbers as conditions."""
     regions = load(spark, d, "nation").select(F.col("n_nationkey"), F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("model_slug"))
     suppliers = load(spark, d, "supplier").join(regions, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "model_slug")
     condition = F.element_at(F.array(*(F.lit(c) for c in schemas.CONDITIONS)), (F.col("l_linenumber") % 6 + 1).cast("int"))
     rows = load(spark, d, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("model_slug", condition.alias("condition"), F.col("l_quantity").alias("mean_entropy_top20"))
-    return _rounded(publish.condition_table(rows))
+    return rows
+
+
+@query
+def publication_conditions(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(publish.condition_table(_points(spark, d)))
+
+
+@query
+def publication_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(publish.profile_rows(_points(spark, d)))
 
 
 @query
@@ -215,6 +224,7 @@ SQL = {
     "publication_replication": f"WITH {_SEG} SELECT model_slug, {_SIX(mean_delta_nl_minus_python='mean', ci99_low='ci_low', ci99_high='ci_high', cohens_dz='mean / nullif(sd, 0)')}, positive AS positive_tasks, n AS total_tasks FROM dc WHERE contrast = 'C1'",
     "publication_interventions": f"WITH {_SEG} SELECT model_slug, contrast, left_condition, right_condition, {_SIX(mean_delta='mean', ci99_low='ci_low', ci99_high='ci_high', valid_vocab_mean_delta='median', semantic_step_balanced_mean_delta='mean')}, positive AS positive_tasks, n AS total_tasks, result_status, CASE WHEN alternative = 'two_sided' THEN margin END AS equivalence_margin, CASE WHEN alternative = 'two_sided' THEN same END AS equivalent FROM dc",
     "publication_conditions": f"WITH r AS (SELECT 'm' || n_regionkey AS model_slug, l_linenumber % 6 AS k, l_quantity AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) SELECT model_slug, ({list(schemas.CONDITIONS)})[k + 1] AS condition, round(avg(q), 6) + 0.0 AS mean_entropy_top20, (k + 1)::INT AS place FROM r GROUP BY model_slug, k",
+    "publication_profile": f"WITH r AS (SELECT 'm' || n_regionkey AS model_slug, l_linenumber % 6 AS k, l_quantity AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), g AS (SELECT model_slug, k, avg(q) AS y, count(*) AS n FROM r GROUP BY ALL) SELECT model_slug, ({list(schemas.CONDITIONS)})[k + 1] AS condition, round(y, 6) + 0.0 AS y, n, (k + 1)::INT AS x, round(y - lag(y) OVER (PARTITION BY model_slug ORDER BY k), 6) + 0.0 AS step FROM g",
     "publication_families": f"WITH {_SEG} SELECT model_slug, 'NL-Python' AS contrast, family_positive AS positive_families, family_n AS total_families, {_SIX(mean_family_delta='family_mean', min_family_delta='ci_low', max_family_delta='ci_high')} FROM dc WHERE contrast = 'C1' UNION ALL SELECT model_slug, contrast, family_positive, family_n, round(family_mean, 6) + 0.0, NULL, NULL FROM dc",
     "publication_forest": f"WITH {_SEG} SELECT model_slug, contrast, {_SIX(x='mean', x_low='ci_low', x_high='ci_high')}, row_number() OVER (PARTITION BY contrast ORDER BY model_slug)::INT AS place FROM dc",
     "publication_equivalence": f"WITH {_SEG} SELECT model_slug, contrast, {_SIX(ci_low='ci_low', ci_high='ci_high', margin_low='-margin', margin_high='margin')}, same AS equivalent FROM dc WHERE alternative = 'two_sided'",

@@ -37,7 +37,7 @@ def test_analysis(spark, tmp_path):
     assert main(["publish", "--results-root", str(tmp_path / "results"), "--output", str(tmp_path / "tables")], spark) == 0
 
 
-def test_measure_goes_on(spark, tmp_path):
+def test_measure_goes_on(spark, tmp_path, capsys):
     rows = [(f"t{t}", p, 1, [float(t), 1.0, 2.0]) for t in range(3) for p in (1, 2, 3)]
     scores, out = str(tmp_path / "scores"), str(tmp_path / "out")
     spark.createDataFrame(rows, "trajectory_id string, reference_position int, reference_token_id int, logits array<double>").write.parquet(scores)
@@ -51,6 +51,9 @@ def test_measure_goes_on(spark, tmp_path):
     for other in (".old", ".bad"):
         assert main([*run, "--validation", report + other, "--confirm-real-run"], spark) == 1
     assert main([*run, "--confirm-real-run", "--limit", "2"], spark) == 0
+    assert capsys.readouterr().out.startswith("2 of 3 trajectories, 6 tokens in ")
+    config = json.load(open(f"{out}/config.json"))
+    assert config["environment"]["spark"] == spark.version and config["stimuli_sha256"]
     assert spark.read.parquet(f"{out}/trajectories.parquet").count() == 2
     assert main([*run, "--confirm-real-run"], spark) == 0
     assert main([*run, "--confirm-real-run"], spark) == 0
