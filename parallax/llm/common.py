@@ -14,6 +14,7 @@ import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: ASCII only, as Java, Python and RE2 all read it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -113,8 +114,19 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run: Run) -> Run:
-    """An Arrow function whose worker gives memory back when it has run."""
+#: Rows of an Arrow batch; the setting that bounds them, and its default.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def map_arrow(df: DataFrame, run: Run, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow() for rows with whole texts: in short batches, and the worker gives memory back when it has run.
+
+    A batch is held by the executor and by its worker, and there is no setting of a single plan: the
+    session's setting is lowered, unless somebody has set it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -122,7 +134,7 @@ def tidy(run: Run) -> Run:
         finally:
             _give_back()
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 def prefix_sum(df: DataFrame, group: list[str], blocks: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import few_or_merged, materialise, slices, tidy
+from parallax.llm.common import few_or_merged, map_arrow, materialise, slices
 
 #: The bounds of the sample: rows of a label (expected), rows and bytes in all.
 PER_LANG, HARD_CAP, SAMPLE_BYTES = 800, 40_000, 64 << 20
@@ -224,7 +224,6 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> bytes | None:
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.withColumn("at", chance).join(few_or_merged(counts), "lang").where(F.col("n") * F.col("at") < each)
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels, calibration, size = [], [], [], 0
         for lang, number, text in (r.values() for b in batches for part in slices(b) for r in part.to_pylist()):
@@ -238,7 +237,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> bytes | None:
         if model := train_on(rows, labels, calibration):
             yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
-    one = sample.repartition(1).sortWithinPartitions("at", "doc_id", "lang", "text").select("lang", fold(F.col("doc_id")).alias("fold"), "text").mapInArrow(run, "model binary")
+    one = map_arrow(sample.repartition(1).sortWithinPartitions("at", "doc_id", "lang", "text").select("lang", fold(F.col("doc_id")).alias("fold"), "text"), run, "model binary")
     found = one.collect()
     return bytes(found[0].model) if found else None
 
@@ -279,7 +278,6 @@ def predict(docs: DataFrame, model: bytes | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, letter = Model.load(shared.value) if shared.value else None, _letter()
         for batch in batches:
@@ -287,7 +285,7 @@ def predict(docs: DataFrame, model: bytes | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: bytes | None) -> DataFrame:
@@ -295,10 +293,9 @@ def keep_known(docs: DataFrame, model: bytes | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, letter = Model.load(shared.value) if shared.value else None, _letter()
         for batch in batches:
             yield batch.filter(pa.array([not r for r in _judged(batch.column(at), own, letter)[2]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

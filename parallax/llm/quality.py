@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import slices, tidy
+from parallax.llm.common import map_arrow, slices
 
 #: (bytes from, ratio from, ratio to). Floors are near 0.6 of the median ratio of ordinary prose of that length,
 #: ceilings from 256 bytes on between the largest ratio of sf0.1 (0.745, 0.698, 0.592, 0.521) and base64's least (0.846, 0.797, 0.775, 0.754).
@@ -96,7 +96,6 @@ class Bands:
 def rules(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, the base counts, base_failed, kept, and the ratios behind the verdict."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
@@ -111,7 +110,7 @@ def rules(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, COLUMNS)
 
 
 def brute_force(text: str | None) -> tuple[int, int, int, int, int, bool]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from parallax.llm.common import tidy
+from parallax.llm.common import map_arrow
 
 #: Sets of strings larger than this are cut to prefixes and suffixes; segments have so many bytes or rows at most.
 MAX_SET, SEGMENT_BYTES, SEGMENT_ROWS = 24, 4 << 20, 1024
@@ -299,7 +299,6 @@ def _segments(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): all spans of each text, by start and then kind as listed."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -308,7 +307,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 found = [[{"kind": s[2], "start": s[0], "end": s[1]} for s in spans] for spans in own.segment(rows.column(1))]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def digests(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -326,7 +325,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     at = names.index("text")
     counted = names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, IntegralType) else None
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scanner(rules)
         for batch in batches:
@@ -341,7 +339,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                         columns[counted] = pa.array(sizes, rows.schema.field(counted).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> str:

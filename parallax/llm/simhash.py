@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.llm.common import discard, few_or_merged, materialise, prefix_sum, slices, tidy, unused_names
+from parallax.llm.common import discard, few_or_merged, map_arrow, materialise, prefix_sum, slices, unused_names
 
 SEED = 42
 #: Bytes of a text that are cut into words at once; nodes of one pattern before it is refined; free bits at which refining ends.
@@ -114,7 +114,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fp), fp as signed 64 bits."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.empty(batch.num_rows, np.uint64)
@@ -123,7 +122,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 found[i] = fingerprint(texts[i].as_py(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -221,7 +220,6 @@ def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ..
     """What `groups` makes of the rows, whose columns it gets as arrays, `key` first: whole patterns, each in one run of equal keys."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in chain(batches, [None]):
@@ -237,7 +235,7 @@ def _search(rows: DataFrame, groups: Callable[..., Iterator[tuple[np.ndarray, ..
             for found in groups(_starts([x[:cut] for x in now], len(key)) if cut else np.empty(0, np.int64), *(x[:cut] for x in now)):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in found], names)
 
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+    return map_arrow(rows.repartition(*key).sortWithinPartitions(*key, *order), run, schema)
 
 
 def _starts(columns: list[np.ndarray], keys: int) -> np.ndarray:
@@ -308,7 +306,6 @@ FEW_EDGES = 1 << 14
 
 
 def _components_of_few(edges: DataFrame) -> DataFrame:
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [np.stack([np.asarray(c) for c in batch.columns]) for batch in batches]
         if ends:
@@ -318,7 +315,7 @@ def _components_of_few(edges: DataFrame) -> DataFrame:
             moved = np.flatnonzero(root != np.arange(len(names)))
             yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["node", "root"])
 
-    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+    return map_arrow(edges.coalesce(1), run, "node long, root long")
 
 
 def components(pairs: DataFrame, few: int = FEW_EDGES) -> DataFrame:
@@ -443,7 +440,6 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, key, size, fp, b0, b1, ...) of each row; size: different shingles, fp: fingerprint of all."""
     names = ["doc_id", "key", "size", "fp", *BUCKETS]
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers = [], []
@@ -456,7 +452,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(columns[:, k]) for k in range(BANDS + 2))], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, key binary, size long, fp long, {', '.join(f'{b} long' for b in BUCKETS)}")
+    return map_arrow(rows, run, f"doc_id long, key binary, size long, fp long, {', '.join(f'{b} long' for b in BUCKETS)}")
 
 
 def _forest_of(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -586,7 +582,6 @@ class _Texts:
         """(node, shingles, c0, c1, ...) of the nodes in a stored table; one document of each node is read."""
         shingle = self.shingle
 
-        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows in slices(batch):
@@ -601,7 +596,7 @@ class _Texts:
         ends = materialise(self.nodes.join(few_or_merged(asked), "node", "left_semi").select("key", "node", "first_id"), "asked-nodes")
         wanted = ends.select(F.col("first_id").alias("_wanted")).distinct()
         texts = self.docs.join(few_or_merged(wanted, ends.count()), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-        made = texts.select("text").mapInArrow(run, f"key binary, shingles binary, {', '.join(f'{c} long' for c in COUNTS)}").dropDuplicates(["key"])
+        made = map_arrow(texts.select("text"), run, f"key binary, shingles binary, {', '.join(f'{c} long' for c in COUNTS)}").dropDuplicates(["key"])
         return materialise(made.join(ends.select("key", "node"), "key").select("node", "shingles", *COUNTS), "shingles")
 
     def links(self, pairs: DataFrame, many: int, sets: DataFrame) -> DataFrame:
@@ -611,7 +606,6 @@ class _Texts:
         """
         least = self.least
 
-        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 alike = batch.filter(pa.array([similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select([0, 1])
@@ -621,7 +615,7 @@ class _Texts:
         asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         own = sets.select("node", "shingles").join(few_or_merged(asked, 2 * many), "node", "left_semi")
         side = lambda end, name: own.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
-        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u_root", "v_root", "a", "b").mapInArrow(run, "u long, v long")
+        return map_arrow(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u_root", "v_root", "a", "b"), run, "u long, v long")
 
 
 def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:

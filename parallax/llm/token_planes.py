@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm.common import prefix_sum, remove_at_exit, shared_dir, tidy
+from parallax.llm.common import map_arrow, prefix_sum, remove_at_exit, shared_dir
 
 #: Ids of a block; zstandard level; words that an encoder remembers; id that ends a document.
 BLOCK, LEVEL, REMEMBERED, END = 1 << 16, 3, 400_000, 1
@@ -169,7 +169,6 @@ def write(docs: DataFrame, tokenizer: str, path: str, mode: str = "byte") -> Non
     """Encode each whole text, append the end id, and write all ids in ascending doc_id order under `path`."""
     end = struct.pack("<I", END)
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         rows = ((doc_id.as_py(), own.encode(text.as_py() or "") + end) for batch in batches for doc_id, text in zip(batch.column(0), batch.column(1), strict=True))
@@ -180,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, mode: str = "byte") -> Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
-    dealt.select("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
+    map_arrow(dealt.select("doc_id", "text"), run, SCHEMA).write.parquet(path)
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
@@ -216,7 +215,6 @@ def pieces_of_block(payload: bytes, first: int, doc_ids: list, starts: list[int]
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks under `path`."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -225,7 +223,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(found), pa.int32()), *columns], ["part", "doc_id", "doc_start", "n_tokens", "share"])
 
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    docs = blocks.select("part", "first_id", "payload", "doc_ids", "doc_starts", "doc_sizes").mapInArrow(run, "part int, doc_id long, doc_start long, n_tokens long, share long")
+    docs = map_arrow(blocks.select("part", "first_id", "payload", "doc_ids", "doc_starts", "doc_sizes"), run, "part int, doc_id long, doc_start long, n_tokens long, share long")
     docs = docs.groupBy("part", "doc_start", "doc_id", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"))
     return docs.join(part_bases(blocks), "part").select("doc_id", (F.col("base") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32")
 

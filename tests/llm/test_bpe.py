@@ -62,3 +62,13 @@ def test_query_and_edge_cases(docs, empty, library):
     assert bpe.round_trip(empty, PATH, public_tokenizers.PATTERN).count() == 0
     back = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
     assert {r.doc_id: bytes(r.decoded).decode() for r in back.collect()} == {k: v or "" for k, v in texts.items()}
+
+
+def test_query_over_all_documents(spark, sf, library):
+    texts = dict(zip(*(pq.read_table(f"{sf}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    rows = queries.op5_bpe_tree(spark, sf).collect()
+    assert len(rows) == len(texts) and sum(len(t or "") > bpe.LEAF for t in texts.values()) > len(texts) / 2
+    for r in rows:
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()

@@ -69,3 +69,30 @@ def test_base64_lines_are_rejected():
         assert not bands.judge(lines)[0], n
     dump = base64.encodebytes(rng.randbytes(3000)).decode()
     assert not quality.base(dump)[-1] and not bands.judge(dump.encode())[0]
+
+
+def slow_verdict(text):
+    """kept, from the limits as written in the table, one call of the library for each piece."""
+    import zstandard
+
+    raw = (text or "").encode()
+    if quality.brute_force(text)[-1]:
+        return False
+    ratio = lambda piece: len(zstandard.compress(piece, quality.LEVEL)) / len(piece)
+    if len(raw) < 64:
+        return True
+    band = [b for b in quality.BANDS if b[0] <= len(raw)][-1]
+    pieces = []
+    if len(raw) >= 4096:
+        pieces = [raw[i : i + 4096] for i in range(0, len(raw) - len(raw) % 4096, 4096)]
+        if len(raw) % 4096:
+            pieces.append(raw[-4096:])
+    bad = sum(1 for p in pieces if ratio(p) < quality.CHUNK_BAND[0] or ratio(p) > quality.CHUNK_BAND[1])
+    return band[1] <= ratio(raw) <= band[2] and 3 * bad <= len(pieces)
+
+
+def test_verdict_equals_brute_force(spark):
+    path = "/root/testdata/sf0.01"
+    texts = dict(zip(*(pq.read_table(f"{path}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    rows = queries.op3_compression_bands(spark, path).collect()
+    assert len(rows) == len(texts) and {r.doc_id: r.kept for r in rows} == {k: slow_verdict(t) for k, t in texts.items()}

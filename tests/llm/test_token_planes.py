@@ -72,3 +72,11 @@ def test_edges(spark, docs, empty, library):
     assert found == expected(rows, library)
     assert token_planes.chunk_index(spark, path).where("base + first_id + n_ids <= 0").count() == 0
     assert token_planes.read_back(spark, token_planes.store(empty, PATH)).count() == 0
+
+
+def test_a_tokenizer_of_another_kind_goes_through_the_library(sf):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, other = WordEncoder(path), Tokenizer.from_file(path)
+    assert not own._known and WordEncoder(PATH)._known
+    for text in ["Two  words", "İX don't", *pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()[:20]]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
