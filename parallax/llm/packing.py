@@ -5,7 +5,7 @@ max_len and a rest, so that nothing is lost and there are at most max_len differ
 The histogram of all segment lengths is the only thing the driver sees. Dynamic programming
 over it finds the bucket boundaries with the least padding. Inside each bucket segments are
 numbered and cut into batches of budget // boundary segments; only a bucket's last batch can
-be short. Numbering is spread over 4096 blocks of each bucket by a hash of id, text and segment.
+be short. Numbering is spread over 65,536 blocks of each bucket, in two levels, by a hash of id, text and segment.
 
 Defined cases: a null or empty text is one segment of length 1 (the end token); rows that repeat
 an id, or lack one, are packed as documents of their own and dealt over the blocks by their texts;
@@ -80,9 +80,9 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, budget: int = BUDGET, buckets:
     bounds = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets) or [max_len]
     upper = F.array(*(F.lit(b).cast("long") for b in bounds))
     bucket = F.size(F.filter(upper, lambda b: b < F.col("n_tokens")))
-    salt = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("segment").cast("string"), "text_key")), 1, 3)
-    rows = rows.withColumn("bucket", bucket).withColumn("_salt", salt)
-    rows = prefix_sum(rows, ["bucket"], ["_salt"], ["doc_id", "segment", "n_tokens", "text_key"], {"_slot": F.lit(1)})
+    salt = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("segment").cast("string"), "text_key")), 1, 4)
+    rows = rows.withColumns({"bucket": bucket, "_coarse": F.substring(salt, 1, 2), "_fine": salt})
+    rows = prefix_sum(rows, ["bucket"], ["_coarse", "_fine"], ["doc_id", "segment", "n_tokens", "text_key"], {"_slot": F.lit(1)})
     rows = rows.withColumn("bucket_len", F.element_at(upper, F.col("bucket") + 1))
     room = F.floor(F.lit(budget) / F.col("bucket_len"))
     return rows.select(

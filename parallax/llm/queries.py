@@ -88,7 +88,7 @@ SQL = {
              e1 AS (SELECT j, pad AS cost, [j_len] AS bounds FROM pad WHERE i = 0),{_MORE_BUCKETS}
              u AS (SELECT bounds FROM e{packing.BUCKETS} ORDER BY j DESC LIMIT 1),
              p AS (SELECT *, len(list_filter(bounds, lambda b: b < n_tokens)) AS bucket FROM s, u),
-             o AS (SELECT *, bounds[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), segment::VARCHAR, text_key)), 1, 3), doc_id NULLS FIRST, segment, n_tokens, text_key) - 1 AS slot FROM p)
+             o AS (SELECT *, bounds[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), segment::VARCHAR, text_key)), 1, 4), doc_id NULLS FIRST, segment, n_tokens, text_key) - 1 AS slot FROM p)
         SELECT doc_id, segment, start, n_tokens, bucket::INT AS bucket, bucket_len, slot // ({packing.BUDGET} // bucket_len) AS batch, slot % ({packing.BUDGET} // bucket_len) AS position, bucket_len - n_tokens AS padding FROM o""",
     "op4_rendezvous_shards": r"""
         WITH tab AS (SELECT [list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) for n in range(256)] AS tab),
@@ -98,7 +98,7 @@ SQL = {
              k AS (SELECT DISTINCT key, s, -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM d, range(9) r(s)),
              w AS (SELECT key, arg_min(s, score) FILTER (s < 8) AS shard, arg_min(s, score) AS grown_shard FROM k GROUP BY key)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
-               row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || text_crc32), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+               row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || text_crc32), 1, 4), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
         FROM c JOIN w USING (key)""",
     "op6_perspective_rotation": r"""
         WITH s AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),

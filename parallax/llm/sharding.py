@@ -4,7 +4,7 @@ Each (key, shard) pair hashes to a uniform u in (0, 1); a record goes to the sha
 smallest -ln(u) / weight, so shard s gets weight(s) / sum of weights of the keys. Adding a
 shard only lets the new shard win records; no record moves between old shards. Everything
 is a row-local expression; only the numbering of rows inside a shard needs a shuffle, and
-that is spread over 4096 blocks per shard by a hash of id and text.
+that is spread over 65,536 blocks per shard, in two levels, by a hash of id and text.
 
 Defined cases: a null doc_id is the empty key; a null text has size 1 and crc32 0; rows
 repeating a doc_id go to one shard and get slots of their own, which are dealt over the blocks by
@@ -38,7 +38,8 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row.
 
     `grown`: the weights after growth, whose first ones equal `weights`; default one more
-    shard of the mean weight. Slots run from 0 in the order of (salt, doc_id, crc32, size).
+    shard of the mean weight. Slots run from 0 in the order of (salt, doc_id, crc32, size), the salt being four
+    digits of a hash.
     """
     grown = grown or [*weights, sum(weights) / len(weights)]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -47,6 +48,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
     )
-    rows = rows.withColumn("_salt", F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))), 1, 3))
-    out = prefix_sum(rows, ["shard"], ["_salt"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1)})
+    salt = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
+    rows = rows.withColumns({"_coarse": F.substring(salt, 1, 2), "_fine": F.substring(salt, 1, 4)})
+    out = prefix_sum(rows, ["shard"], ["_coarse", "_fine"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1)})
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
