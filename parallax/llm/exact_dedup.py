@@ -20,13 +20,17 @@ whatever their names.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm.common import SPACE, delete, discard, few_or_merged, materialise, remove_at_exit, shared_dir, unused_names
+from parallax.llm.common import SPACE, delete, discard, few_or_merged, materialise, shared_dir, unused_names
 
 
 def normalised(text: Column) -> Column:
@@ -99,9 +103,14 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> Data
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
-    """An empty index in shared storage whose files go when the driver ends."""
+    """An empty index in shared storage; table and files go when the driver ends."""
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    remove_at_exit(spark, index.path)
+
+    def drop() -> None:
+        with contextlib.suppress(Py4JError, PySparkException, OSError):  # the JVM may be gone by now
+            index.drop()
+
+    atexit.register(drop)
     return index
 
 
