@@ -292,13 +292,22 @@ def _by_patterns(nodes: DataFrame, words: list[str], most: int, spare: int, max_
     return out
 
 
-def edges(nodes: DataFrame, most: int, max_group: int = MAX_GROUP) -> DataFrame:
+#: Random fingerprints that may share a pattern.
+SHARING = 1024
+
+
+def spare_parts(nodes: int, most: int) -> int:
+    """How many of the parts that 64 bits are cut into a mask needs for patterns that few of so many random fingerprints share."""
+    return next((s for s in range(1, 8) if nodes >> (64 * s // (most + s)) <= SHARING), 8)
+
+
+def edges(nodes: DataFrame, most: int, max_group: int = MAX_GROUP, spare: int = 1) -> DataFrame:
     """(u, v): a forest of links within each pattern of the index; nodes: distinct fp."""
 
     def groups(starts: np.ndarray, _word: np.ndarray, _mask: np.ndarray, _pattern: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         return _edges_of_rows(starts, fps, most)
 
-    return _by_patterns(nodes.select("fp"), ["fp"], most, 1, max_group, FREE_BITS, lambda rows: _search(rows, groups, "u long, v long"))
+    return _by_patterns(nodes.select("fp"), ["fp"], most, spare, max_group, FREE_BITS, lambda rows: _search(rows, groups, "u long, v long"))
 
 
 #: Edges that one task may hold.
@@ -362,9 +371,11 @@ def as_hex(fp: str = "fp"):
 # --- documents whose shingles are alike ------------------------------------------------------
 
 #: Words of a shingle, least Jaccard similarity, bits in which fingerprints that the index links may differ.
-SHINGLE, SIMILAR, LINK_BITS = 5, 0.8, 3
+SHINGLE, SIMILAR, LINK_BITS = 5, 0.8, 5
 #: Minima in a band, bands: texts of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8.
 ROWS, BANDS = 5, 20
+#: Nodes of a bucket that one task holds with those that its window reaches.
+MAX_BUCKET = 1024
 #: Shingles of one text whose minima are taken at once; how much wider each round's window is than the last.
 SKETCH_CHUNK, WIDEN = 1 << 12, 4
 #: Classes in which a text's shingles are counted (one byte each, eight to a column); pairs whose counts are compared at once.
@@ -474,7 +485,7 @@ def _forest_of(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def index_pairs(nodes: DataFrame, most: int, max_group: int) -> DataFrame:
     """(u, v) of nodes whose fingerprints the index links: a forest over fingerprints, and the nodes of one fingerprint to the first of them."""
     first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "first-nodes")
-    links = materialise(edges(first.select("fp"), most, max_group), "index-links")
+    links = materialise(edges(first.select("fp"), most, max_group, spare_parts(first.count(), most)), "index-links")
     end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
     across = links.join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
     equal = nodes.join(few_or_merged(materialise(first.where("n > 1").select("fp", "first"), "shared-fingerprints")), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
@@ -492,19 +503,19 @@ def _mixed(rows: DataFrame) -> tuple[DataFrame, int, int]:
     return found, many, largest or 0
 
 
-def bucket_members(nodes: DataFrame, max_group: int) -> tuple[DataFrame, int]:
+def bucket_members(nodes: DataFrame, max_bucket: int) -> tuple[DataFrame, int]:
     """(bucket, n, size, node, root, pos) of the nodes of mixed buckets, and the largest n; nodes: (node, root, size, b0, b1, ...).
 
-    pos numbers the nodes of a bucket of more than `max_group` by (size, node); it is null in others.
+    pos numbers the nodes of a bucket of more than `max_bucket` by (size, node); it is null in others.
     """
     rows = nodes.select(F.explode(F.array(*BUCKETS)).alias("bucket"), "size", "node", "root")
     mixed, many, largest = _mixed(rows)
     members = materialise(rows.join(few_or_merged(mixed, many), "bucket").select("bucket", "n", "size", "node", "root"), "members")
-    if largest <= max_group:
+    if largest <= max_bucket:
         return members.withColumn("pos", F.lit(None).cast("long")), largest
-    hot = members.where(F.col("n") > max_group).withColumn("_salt", F.floor(F.pmod("node", F.lit(1 << 33)) / 1024).cast("long"))
+    hot = members.where(F.col("n") > max_bucket).withColumn("_salt", F.floor(F.pmod("node", F.lit(1 << 33)) / 1024).cast("long"))
     hot = prefix_sum(hot, ["bucket"], ["size", "_salt"], ["node"], {"pos": F.lit(1)}).drop("_salt")
-    cool = members.where(F.col("n") <= max_group).withColumn("pos", F.lit(None).cast("long"))
+    cool = members.where(F.col("n") <= max_bucket).withColumn("pos", F.lit(None).cast("long"))
     return materialise(cool.unionByName(hot.select(*cool.columns)), "numbered-members"), largest
 
 
@@ -519,11 +530,11 @@ def _alike(size: np.ndarray, classes: np.ndarray, one: np.ndarray, two: np.ndarr
     return out
 
 
-def window_pairs(members: DataFrame, low: int, high: int, least: float, max_group: int, largest: int) -> DataFrame:
+def window_pairs(members: DataFrame, low: int, high: int, least: float, max_bucket: int, largest: int) -> DataFrame:
     """(u, v, u_root, v_root): nodes of a bucket, `low` to `high` - 1 places apart by size, that are not connected yet, u < v, with their roots.
 
     A pair is left out only if its sizes or class counts prove that its similarity is below `least`.
-    Buckets of more than `max_group` nodes are cut into blocks of that many places: a task holds the
+    Buckets of more than `max_bucket` nodes are cut into blocks of that many places: a task holds the
     nodes of one block and those that the window of the block reaches.
     """
 
@@ -545,7 +556,7 @@ def window_pairs(members: DataFrame, low: int, high: int, least: float, max_grou
         yield from paired(size, node, root, counts, steps)
 
     def blocks(starts: np.ndarray, _bucket: np.ndarray, _block: np.ndarray, pos: np.ndarray, right: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        for a, b in zip(starts, np.r_[starts[1:], len(pos)], strict=True):
+        for a, b in zip(starts, np.r_[starts[1:], len(pos)], strict=False):  # none, if all rows may go on in the next batch
             lefts, rights = np.flatnonzero(right[a:b] == 0) + a, np.flatnonzero(right[a:b] == 1) + a
             if not len(lefts) or not len(rights):
                 continue
@@ -561,11 +572,11 @@ def window_pairs(members: DataFrame, low: int, high: int, least: float, max_grou
             yield from paired(size, node, root, counts, steps())
 
     found = _search(members.where("pos IS NULL").select("bucket", "size", "node", "root", *COUNTS), whole, PAIR, ["bucket"], ["size", "node"])
-    if largest <= max_group:
+    if largest <= max_bucket:
         return found.distinct()
     hot = members.where("pos IS NOT NULL")
-    own, side = F.floor(F.col("pos") / max_group).cast("long"), lambda block, right: F.struct(block.alias("block"), F.lit(right).cast("long").alias("right"))
-    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - (high - 1)) / max_group)).cast("long"), F.floor((F.col("pos") - low) / max_group).cast("long"))
+    own, side = F.floor(F.col("pos") / max_bucket).cast("long"), lambda block, right: F.struct(block.alias("block"), F.lit(right).cast("long").alias("right"))
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - (high - 1)) / max_bucket)).cast("long"), F.floor((F.col("pos") - low) / max_bucket).cast("long"))
     rights = F.when(F.col("pos") >= low, F.transform(reach, lambda k: side(k, 1))).otherwise(F.array().cast("array<struct<block:bigint,right:bigint>>"))
     hot = hot.withColumn("_at", F.explode(F.concat(F.array(side(own, 0)), rights))).select("bucket", "_at.block", "pos", "_at.right", "size", "node", "root", *COUNTS)
     return found.unionByName(_search(hot, blocks, PAIR, ["bucket", "block"], ["right", "pos"])).distinct()
@@ -629,7 +640,7 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(few_or_merged(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, max_group: int = MAX_GROUP, link_bits: int = LINK_BITS) -> DataFrame:
+def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, max_group: int = MAX_GROUP, max_bucket: int = MAX_BUCKET, link_bits: int = LINK_BITS) -> DataFrame:
     """(doc_id, component_id) of each row: documents joined by links of similar shingle sets.
 
     1. The Gray-order index over the texts' fingerprints links those that differ in `link_bits` or
@@ -651,13 +662,13 @@ def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     roots = components(texts.links(pairs, pairs.count(), sets))
     discard(sets, ends, pairs)
 
-    members, largest = bucket_members(_with_roots(nodes.select("node", "size", *BUCKETS), roots), max_group)
+    members, largest = bucket_members(_with_roots(nodes.select("node", "size", *BUCKETS), roots), max_bucket)
     if largest:
         sets = texts.of(materialise(members.select("node").distinct(), "candidate-nodes"))
         members = materialise(members.join(sets.select("node", *COUNTS).hint("merge"), "node"), "counted-buckets")
     low, high = 1, 2
     while low < largest:
-        pairs = materialise(window_pairs(members, low, high, least, max_group, largest), "candidates")
+        pairs = materialise(window_pairs(members, low, high, least, max_bucket, largest), "candidates")
         if many := pairs.count():
             roots = _moved(roots, texts.links(pairs, many, sets))
         # what goes on: buckets with members further apart and more than one component
@@ -665,7 +676,7 @@ def similar_docs(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
         mixed, many, largest = _mixed(further)
         if many:
             members = materialise(further.join(few_or_merged(mixed.select("bucket"), many), "bucket", "left_semi").select(*members.columns), "buckets")
-        low, high = high, min(high * WIDEN, high + max_group)
+        low, high = high, min(high * WIDEN, high + max_bucket)
     rooted = materialise(_with_roots(nodes.select("key", "node", "first_id"), roots).select("key", "first_id", "root"), "rooted")
     smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     classes = materialise(rooted.join(smallest.hint("merge"), "root").select("key", "component_id"), "classes")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import xxhash
 
-from parallax.llm import queries, simhash
+from parallax.llm import common, queries, simhash
 
 
 def slow_fingerprint(text):
@@ -64,6 +64,17 @@ def test_components_equal_brute_force_also_when_patterns_are_refined(spark):
         assert [roots.get(x, x) for x in names] == slow_components(fps, names, 2)
 
 
+def test_any_number_of_spare_parts_finds_the_same(spark):
+    fps = clumps(12, 400, 3)
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long")
+    names = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want = slow_components(fps, names, 5)
+    for spare in (1, 2):
+        roots = {r.node: r.root for r in simhash.components(simhash.edges(frame, 5, spare=spare)).collect()}
+        assert [roots.get(x, x) for x in names] == want
+    assert [simhash.spare_parts(n, 5) for n in (0, 10**6, 10**7, 10**9)] == [1, 1, 2, 3]
+
+
 def test_long_chain(spark):
     chain = [(i + 1, i) for i in range(300)]
     for few in (simhash.FEW_EDGES, 10):
@@ -134,7 +145,7 @@ def test_similar_docs(spark):
     ids = list(range(len(texts)))
     frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     for limit in (simhash.MAX_GROUP, 10):
-        found = {r.doc_id: r.component_id for r in simhash.similar_docs(frame, max_group=limit).collect()}
+        found = {r.doc_id: r.component_id for r in simhash.similar_docs(frame, max_group=limit, max_bucket=limit).collect()}
         assert all(found[i] == 0 for i in ids[:41] if jaccard(texts[0], texts[i]) >= 0.8)
         assert all(found[i] == i for i in ids[41:])
     kept = {r.doc_id for r in simhash.keep_one(frame).collect()}
@@ -185,13 +196,16 @@ def templates(seed, n, shared=300, own=100, words=3000):
     return [" ".join(x) for x in [*first, *(x[5:] + [f"e{k}"] for k, x in enumerate(first) if k % 3 == 0)]]
 
 
-def test_links_do_not_depend_on_how_many_share_a_bucket(spark):
+def test_links_do_not_depend_on_how_many_share_a_bucket_or_a_batch(spark, monkeypatch):
     for texts in (orders(7, 30), templates(8, 45)):
         frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         want = brute_components(texts)
         assert 0 < sum(i != c for i, c in enumerate(want)) < len(texts) - 1
-        for limit in (simhash.MAX_GROUP, 5):
-            assert [r.component_id for r in simhash.similar_docs(frame, max_group=limit).orderBy("doc_id").collect()] == want
+        for limit, rows in ((simhash.MAX_GROUP, 1024), (5, 3)):
+            monkeypatch.setattr(common, "BATCH_ROWS", rows)
+            spark.conf.unset(common.BATCH_SETTING)
+            assert [r.component_id for r in simhash.similar_docs(frame, max_group=limit, max_bucket=limit).orderBy("doc_id").collect()] == want
+    spark.conf.unset(common.BATCH_SETTING)
 
 
 def blocks(seed, n, words, likeness):
