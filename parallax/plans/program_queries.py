@@ -1,9 +1,10 @@
 """Queries over the fixed corpus of small programs, and their recorded answers.
 
-The answers in `recorded.json` were not made by this engine: step spans come from the lines of a
+Most answers in `recorded.json` were not made by this engine: step spans come from the lines of a
 text, renamed texts from a replacement of words, histograms, steps and constructs from a plain walk
 of the syntax tree, resampling from a direct run of the generator over the SQL engine's deltas.
-The rendered texts were read against the wording rules line by line.
+The prose, controlled and pseudocode texts are an exception: this engine wrote them, and a reading
+against the wording rules found them right, so they guard against changes and are no independent proof.
 """
 
 from __future__ import annotations
