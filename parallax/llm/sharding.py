@@ -4,7 +4,9 @@ Each (key, shard) pair hashes to a uniform u in (0, 1); a record goes to the sha
 smallest -ln(u) / weight, so shard s gets weight(s) / sum of weights of the keys. Adding a
 shard only lets the new shard win records; no record moves between old shards. Everything
 is a row-local expression; only the numbering of rows inside a shard needs a shuffle, and
-that is spread over 65,536 blocks per shard, in two levels, by a hash of id and text.
+that is spread over 65,536 blocks per shard, in two levels, by a hash of id and text. The
+numbering looks at its rows twice, so they are stored before, without texts: texts are read
+once, in short batches, and a source that gives others when it is read again does no harm.
 
 Defined cases: a null doc_id is the empty key; a null text has size 1 and crc32 0; rows
 repeating a doc_id go to one shard and get slots of their own, which are dealt over the blocks by
@@ -19,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import prefix_sum
+from parallax.llm.common import materialise, prefix_sum, short_reads
 
 def _digits(key: Column, shard: int) -> Column:
     """52 hash bits of the pair."""
@@ -45,10 +47,12 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
     )
     salt = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
     rows = rows.withColumns({"_coarse": F.substring(salt, 1, 2), "_fine": F.substring(salt, 1, 4)})
+    with short_reads(docs.sparkSession):
+        rows = materialise(rows, "sharded")
     out = prefix_sum(rows, ["shard"], ["_coarse", "_fine"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1)})
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -3,9 +3,11 @@ import math
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from parallax.llm import queries, sharding
+from parallax.llm.common import READ_DEFAULT, READ_ROWS, READ_SETTING
 
 
 def slow_shard(doc_id, weights):
@@ -48,3 +50,35 @@ def test_edges(docs, empty):
     assert {(r["size"], r.text_crc32) for r in rows if r.doc_id in (3, 4)} == {(1, 0)}
     assert len({r.shard for r in rows if r.doc_id == 2}) == 1 and len({r.slot for r in rows if r.doc_id == 2}) == 2
     assert [r.shard for r in rows if r.doc_id is None] == [slow_shard(None, [1.0] * 8)]
+
+
+def test_texts_are_read_once(spark):
+    """Rows are numbered and counted as they were first read; texts that differ at the next reading would lose rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        import os
+
+        for b in batches:
+            read.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([os.urandom(8).hex() for _ in range(b.num_rows)])], names=["doc_id", "text"])
+
+    frame = spark.range(3000, numPartitions=4).mapInArrow(run, "doc_id long, text string")
+    rows = sharding.shard(frame, [1.0] * 8).collect()
+    assert read.value == 3000 and sorted(r.doc_id for r in rows) == list(range(3000))
+    for s in range(8):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_texts_are_read_in_short_batches(spark, sf, monkeypatch):
+    seen, store = [], sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda df, label: seen.append(spark.conf.get(READ_SETTING)) or store(df, label))
+    queries.op4_rendezvous_shards(spark, sf)
+    assert seen == [str(READ_ROWS)] and spark.conf.get(READ_SETTING) == READ_DEFAULT
+    spark.conf.set(READ_SETTING, "77")
+    try:
+        queries.op4_rendezvous_shards(spark, sf)
+        assert seen[1:] == ["77"] and spark.conf.get(READ_SETTING) == "77"
+    finally:
+        spark.conf.unset(READ_SETTING)
