@@ -49,20 +49,21 @@ def definitions(spark: SparkSession, contrasts: Sequence[tuple[str, str, str, st
 def contrasts(means: DataFrame, defs: DataFrame, keys: Sequence[str], condition: str, metrics: Sequence[str]) -> DataFrame:
     """Long table (contrast, left, right, keys, delta_{metric}...) over all definitions.
 
-    Each mean is sent to the contrasts it takes part in (the definitions are a handful of rows; the
-    planner broadcasts them if their size allows) with its sign, and the two sides meet in one aggregation: one shuffle for any number of
-    contrasts, instead of a self-join each. `paired` says whether both sides are there.
+    One shuffle for any number of contrasts: the means of a unit meet in one row, and that row is
+    read once for each definition. The definitions are a handful of rows and are always sent to the
+    means: the planner does not know their size, and would deal the means out by condition or
+    broadcast them instead. `paired` says whether both sides are there, once each.
     """
-    on = F.col(condition)
-    sides = defs.withColumn("_on", F.explode(F.array("left_condition", "right_condition")))
-    sided = means.join(sides, on == F.col("_on"))
-    is_left = on == F.col("left_condition")
-    left = lambda m: F.max(F.when(is_left, F.col(m)))
-    right = lambda m: F.max(F.when(~is_left, F.col(m)))
-    out = sided.groupBy("contrast", "left_condition", "right_condition", "alternative", *keys).agg(
-        *((left(m) - right(m)).alias(f"delta_{m}") for m in metrics), F.count(F.when(is_left, 1)).alias("_l"), F.count(F.when(~is_left, 1)).alias("_r")
-    )
-    return out.withColumn("paired", (F.col("_l") == 1) & (F.col("_r") == 1)).drop("_l", "_r")
+    named = ("contrast", "left_condition", "right_condition", "alternative")
+    defs = F.broadcast(defs.select(*named))
+    sides = defs.select(F.explode(F.array("left_condition", "right_condition")).alias(condition))
+    cell = F.struct(F.col(condition).alias("_on"), *(F.col(m).alias(f"_{k}") for k, m in enumerate(metrics)))
+    units = means.join(F.broadcast(sides), condition, "left_semi").groupBy(*keys).agg(F.collect_list(cell).alias("_cells"))
+    left = F.filter("_cells", lambda c: c["_on"] == F.col("left_condition"))
+    right = F.filter("_cells", lambda c: (c["_on"] == F.col("right_condition")) & (c["_on"] != F.col("left_condition")))
+    sided = units.crossJoin(defs).select(*named, *keys, left.alias("_l"), right.alias("_r")).where((F.size("_l") > 0) | (F.size("_r") > 0))
+    deltas = [(F.array_max(F.col("_l")[f"_{k}"]) - F.array_max(F.col("_r")[f"_{k}"])).alias(f"delta_{m}") for k, m in enumerate(metrics)]
+    return sided.select(*named, *keys, *deltas, ((F.size("_l") == 1) & (F.size("_r") == 1)).alias("paired"))
 
 
 def family_means(deltas: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

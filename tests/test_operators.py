@@ -101,6 +101,36 @@ def test_contrast_edges(spark):
     assert {(r.c, r.n, r.complete) for r in grid.collect()} == {("A", 2, False), ("B", 0, False)}
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_contrasts_send_the_definitions_to_the_means(spark, threshold):
+    """Means are never dealt out by condition, nor sent to all tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = spark.range(300).selectExpr("id DIV 3 AS task_id", "array('A', 'N', 'R')[id % 3] AS c", "CAST(id AS double) AS m")
+        means = contrast.condition_means(rows, ["task_id", "c"], ["m"])
+        out = contrast.contrasts(means, contrast.definitions(spark, (("X", "A", "N", "positive"), ("Y", "R", "A", "two_sided"))), ["task_id"], "c", ["m"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BuildLeft" not in plan
+        assert sorted(map(tuple, out.groupBy("contrast", "paired", "delta_m").count().collect())) == [("X", True, -1.0, 100), ("Y", True, 2.0, 100)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_contrasts_of_odd_cells(spark):
+    """Cells that are there twice, without a number, or on both sides of a definition; a condition or unit without a name."""
+    rows = [("t1", "A", 1.0, 5.0), ("t1", "A", 2.0, None), ("t1", "B", 1.0, 1.0), ("t2", "A", None, 1.0), ("t2", "B", 4.0, float("nan")), ("t3", "C", 1.0, 1.0), ("t4", None, 1.0, 1.0), (None, "A", 3.0, 2.0), (None, "B", 1.0, 4.0)]
+    means = spark.createDataFrame(rows, "task_id string, c string, m double, n double")
+    defs = contrast.definitions(spark, (("X", "A", "B", "positive"), ("Y", "B", "A", "positive"), ("Z", "A", "A", "positive")))
+    out = contrast.contrasts(means, defs, ["task_id"], "c", ["m", "n"])
+    assert out.columns == ["contrast", "left_condition", "right_condition", "alternative", "task_id", "delta_m", "delta_n", "paired"]
+    found = {(r.contrast, r.task_id): (r.delta_m, None if r.delta_n is None else str(r.delta_n), r.paired) for r in out.collect()}
+    assert found == {
+        ("X", "t1"): (1.0, "4.0", False), ("Y", "t1"): (-1.0, "-4.0", False), ("Z", "t1"): (None, None, False),
+        ("X", "t2"): (None, "nan", True), ("Y", "t2"): (None, "nan", True), ("Z", "t2"): (None, None, False),
+        ("X", None): (2.0, "-2.0", True), ("Y", None): (-2.0, "2.0", True), ("Z", None): (None, None, False),
+    }
+
+
 def test_specs(spark):
     tasks = spark.createDataFrame([("t", "f", "do", ["a", "b", "c"], ["x", "y", "z"])], schemas.TASK)
     out = contrast.specs(tasks, expected=3).collect()
