@@ -201,3 +201,12 @@ def test_corpus_report(spark, tmp_path):
     writers.write_json(path, tasks)
     checks = {r.check: r.passed for r in stimuli.corpus_report(spark, str(path), "0", 4, 2).collect()}
     assert not checks["corpus_sha256"] and not checks["programs_not_parseable"]
+
+
+@pytest.mark.parametrize("name", ["trace_spans", "audit_sample", "differential_programs"])
+def test_corpus_queries_are_bounded(spark, name):
+    """They read no table, and their corpus is one task, whatever the number of cores."""
+    from parallax.plans import program_queries, queries
+
+    assert _programs(spark).rdd.getNumPartitions() == 1
+    assert queries.QUERIES[name](spark, "/no/such/folder").count() == len(program_queries.RECORDED.get(name, {"rows": CORPUS})["rows"])
