@@ -56,9 +56,8 @@ def contrasts(means: DataFrame, defs: DataFrame, keys: Sequence[str], condition:
     """
     named = ("contrast", "left_condition", "right_condition", "alternative")
     defs = F.broadcast(defs.select(*named))
-    sides = defs.select(F.explode(F.array("left_condition", "right_condition")).alias(condition))
     cell = F.struct(F.col(condition).alias("_on"), *(F.col(m).alias(f"_{k}") for k, m in enumerate(metrics)))
-    units = means.join(F.broadcast(sides), condition, "left_semi").groupBy(*keys).agg(F.collect_list(cell).alias("_cells"))
+    units = means.groupBy(*keys).agg(F.collect_list(cell).alias("_cells"))
     left = F.filter("_cells", lambda c: c["_on"] == F.col("left_condition"))
     right = F.filter("_cells", lambda c: (c["_on"] == F.col("right_condition")) & (c["_on"] != F.col("left_condition")))
     sided = units.crossJoin(defs).select(*named, *keys, left.alias("_l"), right.alias("_r")).where((F.size("_l") > 0) | (F.size("_r") > 0))
