@@ -50,3 +50,20 @@ def test_published_draws(spark, name):
 
     rows = queries.QUERIES[name](spark, SF).collect()
     assert rows and {r.n_resamples for r in rows} == {infer.SIGN_FLIPS}
+
+
+#: Answers at sf0.1, where the SQL has none: a direct run of the generator and of the tests over the SQL engine's deltas.
+AT_600_000 = {
+    "cluster_bootstrap": [
+        ("C1", 25, 192313, 200000, 0.961565, -245.280598, 39.550875, 0.96226, 0.961267),
+        ("C2", 25, 7126, 200000, 0.035635, -49.337944, 340.693589, 0.03774, 0.035095),
+        ("C3", 25, 65935, 200000, 0.329678, -184.671266, 276.040931, 0.345759, 0.330504),
+        ("C4", 25, 134065, 200000, 0.670327, -276.040931, 184.671266, 0.663962, 0.669496),
+    ],
+}
+
+
+@pytest.mark.parametrize("name", sorted(AT_600_000))
+def test_resampling_beyond_the_recorded_scales(spark, name):
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.1").collect()
+    assert sorted(tuple(map(plain, r)) for r in rows) == [tuple(map(plain, r)) for r in AT_600_000[name]]
