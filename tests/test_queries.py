@@ -60,6 +60,12 @@ AT_600_000 = {
         ("C3", 25, 65935, 200000, 0.329678, -184.671266, 276.040931, 0.345759, 0.330504),
         ("C4", 25, 134065, 200000, 0.670327, -276.040931, 184.671266, 0.663962, 0.669496),
     ],
+    "resample_numpy": [
+        ("C1", 1000, 180708, 200000, 0.90354, -355.899402, 113.057762, 0.922649, 0.904521),
+        ("C2", 1000, 14103, 200000, 0.07052, -99.229633, 366.718575, 0.098789, 0.070596),
+        ("C3", 1000, 87562, 200000, 0.437813, -219.641837, 247.446124, 0.518553, 0.439084),
+        ("C4", 1000, 175576, 200000, 0.877881, -247.446124, 219.641837, 0.481447, 0.560916),
+    ],
 }
 
 
